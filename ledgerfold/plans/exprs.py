@@ -65,11 +65,11 @@ class Compiler:
             x = self.operand(e.expr)
             found = F.lit(False)
             values = [self.operand(i) for i in e.items]
-            plain = [v for v in values if v.literal is not None and v.rank == x.rank and x.rank not in (ValueType.FLOAT, None)]
-            if plain:
-                found = F.coalesce(x.col.isin([v.col for v in plain]), F.lit(False))
-            for v in values:
-                if v not in plain:
+            simple = [v.literal is not None and v.rank == x.rank and x.rank not in (ValueType.FLOAT, None) for v in values]
+            if any(simple):
+                found = F.coalesce(x.col.isin([v.col for v, plain in zip(values, simple, strict=True) if plain]), F.lit(False))
+            for v, plain in zip(values, simple, strict=True):
+                if not plain:
                     found = found | F.coalesce(compare("=", x, v), F.lit(False))
             return ~is_null(x) & ~found if e.negated else found
         if isinstance(e, ir.Like):
