@@ -19,6 +19,8 @@ Only numbers move: texts are tokenized once and never shuffled.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -26,43 +28,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._common import Scratch, map_rows
+from ledgerfold.llm._common import Scratch, spark_schema, to_batch
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Documents whose new words are encoded in one call.
+DOCS_AT_ONCE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", bin long, offset long, open boolean, bins int, bound double"
 
 
+def _byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, as little-endian uint32 bytes.
 
     No token crosses white space, so the ids of a text are those of its parts
-    between ASCII blanks, of which each distinct one is encoded once.
+    between blanks, of which each distinct one is encoded once. Merging by
+    the file's rules is done for many words in one call of tiktoken: a word's end
+    is a zero byte, which joins its last byte before anything else. Merging by the
+    rank of what two parts make gives the same ids as merging by the rank of the
+    pair, since below a token's rank its own bytes can only have come to its two
+    halves. What isn't plain (separator controls, zero bytes, characters that are not
+    in normal form) goes to the tokenizers library whole.
     """
 
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, ends = _byte_letters(), "</w>"
+        raw = lambda t: bytes(letters[c] for c in t.removesuffix(ends)) + b"\0" * t.endswith(ends)
+        vocabulary, ranks, ids = model["vocab"], {}, []
+        for letter, byte in sorted(letters.items(), key=lambda x: x[1]):
+            ranks[bytes([byte])] = byte
+            ids.append(vocabulary[letter])
+        for letter, byte in sorted(letters.items(), key=lambda x: x[1]):
+            ranks[bytes([byte, 0])] = 256 + byte
+            ids.append(vocabulary[letter + ends])
+        for merge in model["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            ranks[raw(left + right)] = len(ids)
+            ids.append(vocabulary[left + right])
+        self.gap = ranks[b"\n\0"]
+        self.ids = np.array(ids, dtype="<u4")
+        self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.find = regex.compile(self.PATTERN + r"|\n").findall
+        # Zero bytes, and the letter whose lower case depends on its place.
+        self.odd = re.compile("[\x00\u03a3]").search
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of ``words``, none of which holds a line feed, to ``known``."""
+        text = "\n".join(words)
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text) or self.odd(text):
+            plain = []
+            for word in words:
+                if self.odd(word) or not unicodedata.is_normalized("NFC", word):
+                    ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                    self.known[word] = np.array(ids, dtype="<u4").tobytes()
+                else:
+                    plain.append(word)
+            words, text = plain, "\n".join(plain)
+        if not words:
+            return
+        # Stretches that are merged on their own, and the line feeds between words.
+        pieces = self.find(text.lower())
+        ranks = np.array(self.merge.encode_ordinary("\0".join(pieces) + "\0\n\0"), dtype=np.int64)
+        gaps = np.flatnonzero(ranks == self.gap)
+        starts = np.concatenate(([0], gaps[:-1] + 1)) * 4
+        flat = self.ids[ranks].tobytes()
+        self.known.update(zip(words, [flat[i:j] for i, j in zip(starts.tolist(), (gaps * 4).tolist(), strict=True)], strict=True))
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of ``texts``."""
+        known, found, missing = self.known, [], set()
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for text in texts:
+            # str.split parts at these too, which the tokenizer takes for characters.
+            if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
+                found.append((None, np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()))
+                continue
+            parts = text.split()
+            ids = list(map(known.get, parts))
+            if None in ids:
+                holes = [i for i, x in enumerate(ids) if x is None]
+                missing.update([parts[i] for i in holes])
+                found.append(([(i, parts[i]) for i in holes], ids))
+            else:
+                found.append((None, b"".join(ids)))
+        if missing:
+            self.learn(list(missing))
+        out = []
+        for holes, ids in found:
+            if holes is not None:
+                for i, word in holes:
+                    ids[i] = known[word]
+                ids = b"".join(ids)
+            out.append(ids)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        missing = [w for w in dict.fromkeys(parts) if w not in known]
-        if missing:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                missing = [w for w in dict.fromkeys(parts) if w]
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in parts])
+        return self.many([text])[0]
 
 
 def cut(doc_id, ids: bytes, capacity: int):
@@ -77,14 +162,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """One row per piece of each row of ``docs`` (doc_id, text); a null text counts as empty."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def start():
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def run(batches):
         ids_of = WordIds(tokenizer_path)
-        return lambda doc_id, text: cut(doc_id, ids_of(text or "") + end, capacity)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.many(texts), strict=True):
+                    rows += cut(doc_id, ids + end, capacity)
+                yield to_batch(rows, fields)
 
-    return map_rows(docs.select("doc_id", "text"), PIECES, start)
+    fields = spark_schema(docs.sparkSession, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -191,8 +281,6 @@ def pack(
     Rows may repeat; each is packed on its own. An empty input gives an empty
     result. ``pieces`` is read more than once, so pass a written table.
     """
-    from ledgerfold.llm._common import spark_schema
-
     spark = pieces.sparkSession
     schema = spark_schema(spark, PACKED)
     histogram = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
