@@ -38,7 +38,7 @@ CACHE_WORDS = 500_000
 DOCS_AT_ONCE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", bin long, offset long, open boolean, bins int, bound double"
+PACKED = PIECES + ", bin long, offset long, open boolean, room int, bins int, bound double"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -263,7 +263,7 @@ def _pack_group(capacity: int, round_no: int, schema: pa.Schema):
         if n:
             head[0] = len(names)
         columns = [rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        more = [pa.array(ids), pa.array(np.asarray(offsets, dtype=np.int64)), pa.array((rest > 0) & gap), pa.array(head), pa.array(np.full(n, bound))]
+        more = [pa.array(ids), pa.array(np.asarray(offsets, dtype=np.int64)), pa.array((rest > 0) & gap), pa.array(rest.astype(np.int32)), pa.array(head), pa.array(np.full(n, bound))]
         return pa.Table.from_arrays([*columns, *more], schema=schema)
 
     return pack
@@ -288,28 +288,33 @@ def pack(
     counts = np.array([r["n"] for r in histogram], dtype=np.int64)
     order = np.argsort(sizes)
     bound = math.ceil(dual_feasible_bound(sizes[order], counts[order], capacity) - 1e-9)
-    rows, settled, total = int(counts.sum()), [], None
-    deal = pieces.withColumn("part", F.lit(0)) if not rows else pieces
+    rows, settled, total, deal, emptiest = int(counts.sum()), [], 0, pieces, False
     for round_no in range(max_rounds):
-        parts = max(1, math.ceil(rows / items_per_partition))
+        parts = 1 if emptiest else max(1, math.ceil(rows / items_per_partition))
         key = [F.col("bin")] if round_no else [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
         dealt = deal.withColumn("part", F.pmod(F.xxhash64(*key, F.lit(round_no)), F.lit(parts)).cast("int"))
         packed = scratch.write(dealt.groupBy("part").applyInArrow(_pack_group(capacity, round_no, schema), PACKED))
-        told = packed.agg(F.sum("bins").alias("bins"), F.count(F.when(F.col("open"), 1)).alias("open"), F.sum(F.when(~F.col("open"), 1)).alias("shut")).first()
-        last_bins = int(told["bins"] or 0)
-        if round_no == 0:
-            total = last_bins
-        else:
-            saved, total = open_bins - last_bins, total - (open_bins - last_bins)
+        told = packed.agg(F.sum("bins").alias("bins"), F.count(F.when(F.col("open"), 1)).alias("open")).first()
+        bins = int(told["bins"] or 0)
+        saved = open_bins - bins if round_no else 0
+        total = total - saved if round_no else bins
         rows = int(told["open"])
-        if not rows or total <= bound or parts == 1 or (round_no and not saved):
+        if not rows or total <= bound or parts == 1 or round_no == max_rounds - 1:
             settled.append(packed)
             break
-        settled.append(packed.where(~F.col("open")))
-        deal = packed.where("open")
+        released = F.col("open")
+        if round_no and not saved:
+            # What is left saves nothing in parts: the emptiest bins, as many as fit one partition, meet once.
+            emptiest, upto, least = True, 0, capacity + 1
+            for r in packed.where("open").groupBy("room").agg(F.count("*").alias("n")).orderBy(F.desc("room")).collect():  # capacity rows at most
+                upto += r["n"]
+                if upto > items_per_partition:
+                    break
+                least = r["room"]
+            released = F.col("open") & (F.col("room") >= least)
+        settled.append(packed.where(~released))
+        deal = packed.where(released)
         open_bins = deal.select("bin").distinct().count()
-    else:
-        settled[-1] = packed
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
