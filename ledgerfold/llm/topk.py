@@ -7,8 +7,8 @@ r, every code within ``segments * (r + 1) - 1`` bits has been met, so once the
 k-th verified distance is no more than that, its answer is proven and it leaves.
 
 Codes that many rows share are one entry with a count, and a query needs no more
-than the k smallest ids of each code. When another radius would probe more
-buckets than there are codes to compare, the queries that are left are compared
+than the k smallest ids of each code. When another radius would cost
+more in probes than comparing all codes does, the queries that are left are compared
 with all rows instead, in blocks, which is exact as well.
 """
 
@@ -27,6 +27,8 @@ from ledgerfold.llm._common import Scratch
 BITS = 64
 #: Queries that one pass over all rows answers; their codes are broadcast (8 bytes each).
 QUERY_BLOCK = 65_536
+#: What one probe (a shuffled row) costs, in comparisons of two codes.
+PROBE_COST = 16
 
 
 def sign_code(embedding: Column, bits: int = BITS) -> Column:
@@ -56,6 +58,26 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
+def _probes(queries: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(qcode, segment, value): every segment value exactly ``radius`` bits from a query's own."""
+
+    def run(batches):
+        flips = {w: np.array(_masks(w, radius), dtype=np.int64) for _, w in segments}
+        for batch in batches:
+            codes = batch.column(0).to_numpy()
+            for at in range(0, len(codes), 64):
+                part = codes[at : at + 64]
+                for segment, (first, width) in enumerate(segments):
+                    own = (part.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
+                    values = (own[:, None] ^ flips[width][None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(part, len(flips[width]))), pa.array(np.full(len(values), segment, np.int32)), pa.array(values)],
+                        names=["qcode", "segment", "value"],
+                    )
+
+    return queries.select("qcode").mapInArrow(run, "qcode long, segment int, value long")
+
+
 def _scan(rows: DataFrame, codes: list[int], k: int) -> DataFrame:
     """(qcode, vec_id, distance): for each task, the k nearest rows of every query code."""
     shared = rows.sparkSession.sparkContext.broadcast(np.array(codes, dtype=np.int64))
@@ -109,28 +131,21 @@ def nearest_codes(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> Dat
     codes = scratch.write(rows.groupBy("code").agg(F.count("*").alias("n")))
     distinct = codes.count()
     segments = _segments(distinct)
-    value = lambda code, first, width: F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
-    listed = lambda df, code: df.select(
-        "*", F.posexplode(F.array(*[value(F.col(code), a, w) for a, w in segments])).alias("segment", "value")
-    )
-    index = listed(codes, "code")
+    values = F.array(*[F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in segments])
+    index = codes.select("code", "n", F.posexplode(values).alias("segment", "value"))
 
     left = scratch.write(asked.select("qcode").distinct())
     proven, met = [], None
     radius = 0
     while left.limit(1).count():
-        masks = [_masks(w, radius) for _, w in segments] if radius <= min(w for _, w in segments) else []
-        if not masks or sum(map(len, masks)) > distinct / 2:
+        if radius > min(w for _, w in segments) or PROBE_COST * sum(math.comb(w, radius) for _, w in segments) > distinct:
             break
-        by_width = {w: F.lit(_masks(w, radius)).cast("array<long>") for _, w in segments}
-        flips = F.element_at(F.array(*[by_width[w] for _, w in segments]), F.col("segment") + 1)
-        probes = listed(left, "qcode").select("qcode", "segment", F.col("value"), F.explode(flips).alias("flip"))
-        probes = probes.select("qcode", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         hits = (
-            probes.join(index, ["segment", "value"])
+            _probes(left, segments, radius)
+            .join(index.hint("shuffle_hash"), ["segment", "value"])
             .select("qcode", "code", "n", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).alias("distance"))
         )
-        found = hits if met is None else hits.unionByName(met.join(left, "qcode", "left_semi"))
+        found = hits if met is None else hits.unionByName(met)
         found = found.distinct()
         # The k-th distance so far, from at most 65 counts a query; what lies beyond it can't be in the answer.
         told = found.groupBy("qcode", "distance").agg(F.sum("n").alias("n"))
@@ -141,8 +156,7 @@ def nearest_codes(embeddings: DataFrame, queries: DataFrame, k: int = 10) -> Dat
         done = F.col("kth").isNotNull() & (F.col("kth") <= covered)
         proven.append(now.where(done).select("qcode", "code", "distance"))
         met = now.where(~F.coalesce(done, F.lit(False))).select("qcode", "code", "n", "distance")
-        still = left.join(now.where(done).select("qcode").distinct(), "qcode", "left_anti")
-        left = scratch.write(still)
+        left = scratch.write(left.join(now.where(done).select("qcode").distinct(), "qcode", "left_anti"))
         radius += 1
 
     by_rank = Window.partitionBy("code").orderBy(F.col("vec_id").asc_nulls_last())
