@@ -27,8 +27,9 @@ from ledgerfold.llm._common import Scratch
 BITS = 64
 #: Queries that one pass over all rows answers; their codes are broadcast (8 bytes each).
 QUERY_BLOCK = 65_536
-#: What one probe (a shuffled row) costs, in comparisons of two codes.
-PROBE_COST = 16
+#: What one probe (a row through a shuffle and a join, about a microsecond) costs, in
+#: comparisons of two codes in a block (some ten nanoseconds with their selection).
+PROBE_COST = 64
 
 
 def sign_code(embedding: Column, bits: int = BITS) -> Column:
