@@ -59,10 +59,8 @@ class Database:
 
     def execute(self, statements: list) -> list[ir.QueryResult]:
         """Runs a batch; all of it or, after an error, nothing."""
-        tx = Transaction(self)
-        out = [tx.execute(s) for s in statements]
-        tx.commit()
-        return out
+        with Transaction(self) as tx:
+            return [tx.execute(s) for s in statements]
 
     def translate_and_execute(self, sql: str, params: Any = None) -> list[ir.QueryResult]:
         return self.execute(self.translate(sql, params))
@@ -104,9 +102,8 @@ class Database:
         tx.commit()
 
     def insert_frame(self, table: str, df: DataFrame) -> None:
-        tx = Transaction(self)
-        tx.insert_frame(table, df)
-        tx.commit()
+        with Transaction(self) as tx:
+            tx.insert_frame(table, df)
 
     def table_names(self) -> list[str]:
         return Transaction(self).catalog.table_names()
@@ -187,8 +184,8 @@ class Database:
                 raise InvalidQuery("Resolution column is repeated")
             settled[name] = value
         ids = self.spark.createDataFrame([(row_key(key),)], "row_id string")
-        tx.assign(table, ids, settled, resolving=True)
-        tx.commit()
+        with tx:
+            tx.assign(table, ids, settled, resolving=True)
 
     # -- log and catalog
 

@@ -154,36 +154,42 @@ def apply_catalog(tx: Transaction, entries: list[tuple[str, str, dict]]) -> int:
     return sum(tx.catalog.merge(kind, key, entry) for kind, key, entry in entries)
 
 
-def apply_ops(tx: Transaction, table: str, ops: DataFrame) -> None:
-    """Adds writes that the log doesn't have."""
+def apply_ops(tx: Transaction, table: str, ops: DataFrame, fresh: bool = False) -> DataFrame | None:
+    """Adds writes that the log doesn't have, and gives back those; ``fresh`` ones are known to be new."""
     own = tx.ops(table)
-    new = ops.dropDuplicates([*KEY, "op_id"])
-    if own is not None:
+    new = ops if fresh else ops.dropDuplicates([*KEY, "op_id"])
+    if own is not None and not fresh:
         new = new.join(change_inventory(own), [*KEY, "op_id"], "left_anti")
-    for r in new.select("col", F.col("cell.t").alias("t")).distinct().collect():  # columns by types
-        tx.catalog.saw(table, r["col"], {ValueType(r["t"])})
-    tx.stage(table, ops=new)
+    done = tx.stage(table, ops=new)
+    if done is not None:
+        for r in done.select("col", F.col("cell.t").alias("t")).distinct().collect():  # columns by types
+            tx.catalog.saw(table, r["col"], {ValueType(r["t"])})
+    return done
 
 
-def apply_changes(tx: Transaction, table: str, changes: DataFrame) -> None:
+def apply_changes(tx: Transaction, table: str, changes: DataFrame, fresh: bool = False) -> DataFrame | None:
     """Single writes, all or none; their rows must be here already."""
     own = tx.ops(table)
-    lacking = changes if own is None else changes.join(own.select("row_id").distinct(), "row_id", "left_anti")
-    if lacking.limit(1).count():
-        raise SyncDependencyUnavailable
-    apply_ops(tx, table, changes)
+    if not fresh:
+        lacking = changes if own is None else changes.join(own.select("row_id").distinct(), "row_id", "left_anti")
+        if lacking.limit(1).count():
+            raise SyncDependencyUnavailable
+    return apply_ops(tx, table, changes, fresh)
 
 
 def apply_changes_atomically(db: Database, table: str, changes: DataFrame) -> None:
-    tx = Transaction(db)
-    apply_changes(tx, table, changes)
-    tx.commit()
+    with Transaction(db) as tx:
+        apply_changes(tx, table, changes)
 
 
 def apply_units(db: Database, units: DataFrame) -> None:
     """Takes units (UNIT) of another replica after checking their digests."""
     verify(units)
-    tx = Transaction(db)
+    with Transaction(db) as tx:
+        _apply_units(tx, units)
+
+
+def _apply_units(tx: Transaction, units: DataFrame) -> None:
     entries = [(r["key"].split("/", 2)[1], r["key"].split("/", 2)[2], json.loads(r["state"])) for r in units.where("key LIKE 'catalog/%'").collect()]
     apply_catalog(tx, entries)
     rows = units.where("key LIKE 'row/%'").withColumn("table", F.regexp_extract("key", "^row/(.*)/[^/]*$", 1)).withColumn("row_id", F.substring_index("key", "/", -1))
@@ -193,7 +199,6 @@ def apply_units(db: Database, units: DataFrame) -> None:
         ops = own.where("state <> ''").select("row_id", F.explode(F.from_json("state", state)).alias("o")).select("row_id", "o.*")
         apply_ops(tx, table, ops.select("row_id", "col", "counter", "actor", "op_id", "cell", "preds"))
         tx.stage(table, tombstones=own.where(F.col("metadata") != "").select("row_id"))
-    tx.commit()
 
 
 # -- the session
@@ -217,13 +222,6 @@ class SyncResult:
         return not any((self.received_snapshots, self.received_changes, self.received_deletions, self.catalog_entries))
 
 
-def _rows(frames: dict[str, DataFrame], what: str = "*") -> int:
-    total = 0
-    for df in frames.values():
-        total += df.select(F.count("*") if what == "*" else F.count_distinct(what)).first()[0]
-    return total
-
-
 def synchronize(initiator: Database, responder: Database, transport: Transport | None = None) -> tuple[SyncResult, SyncResult]:
     """One session; afterwards both replicas show the same, unless it was interrupted.
 
@@ -244,27 +242,29 @@ def synchronize(initiator: Database, responder: Database, transport: Transport |
             carry(s, kind, None)
     plans = {s: outbound(at[s], at[peer[s]]) for s in sides}
     for s in sides:
-        plan, db, sent, took = plans[s], sides[peer[s]], results[s], results[peer[s]]
-        snapshots, changes, deletions = _rows(plan.snapshots, "row_id"), _rows(plan.changes), _rows(plan.deletions)
-        carry(s, "state", snapshots)
-        tx = Transaction(db)
-        took.catalog_entries = apply_catalog(tx, plan.catalog)
-        for table, ops in plan.snapshots.items():
-            if snapshots:
-                apply_ops(tx, table, ops)
-        tx.commit()
-        carry(s, "changes", changes)
-        tx = Transaction(db)
-        for table, ops in plan.changes.items():
-            if changes:
-                apply_changes(tx, table, ops)
-        for table, gone in plan.deletions.items():
-            if deletions:
-                tx.stage(table, tombstones=gone)
-        tx.commit()
-        sent.sent_snapshots, sent.sent_changes, sent.sent_deletions = snapshots, changes, deletions
-        took.received_snapshots, took.received_changes, took.received_deletions = snapshots, changes, deletions
-        sent.frames = sum(math.ceil(n / UNITS_PER_FRAME) for n in (snapshots + deletions + len(plan.catalog), changes)) + 4
+        plan, sent, took = plans[s], results[s], results[peer[s]]
+        # What was planned against the receiver's present version is new to it.
+        seen = at[peer[s]].based_on
+        carry(s, "state", None)
+        with Transaction(sides[peer[s]]) as tx:
+            fresh = tx.based_on == seen
+            took.catalog_entries = apply_catalog(tx, plan.catalog)
+            for table, ops in plan.snapshots.items():
+                if (done := apply_ops(tx, table, ops, fresh)) is not None:
+                    took.received_snapshots += done.agg(F.count_distinct("row_id")).first()[0]
+        seen = tx.manifest["version"] if fresh else -1
+        carry(s, "changes", None)
+        with Transaction(sides[peer[s]]) as tx:
+            fresh = tx.based_on == seen
+            for table, ops in plan.changes.items():
+                if (done := apply_changes(tx, table, ops, fresh)) is not None:
+                    took.received_changes += done.count()
+            for table, gone in plan.deletions.items():
+                if (done := tx.stage(table, tombstones=gone)) is not None:
+                    took.received_deletions += done.count()
+        sent.sent_snapshots, sent.sent_changes, sent.sent_deletions = took.received_snapshots, took.received_changes, took.received_deletions
+        units = (sent.sent_snapshots + sent.sent_deletions + len(plan.catalog), sent.sent_changes)
+        sent.frames = sum(math.ceil(n / UNITS_PER_FRAME) for n in units) + 4
         carry(s, "done", None)
     return results["initiator"], results["responder"]
 
@@ -273,13 +273,12 @@ def recover(db: Database, source: Database, table: str, rows: DataFrame) -> None
     """Takes the whole state of the named rows from ``source``, for changes whose rows were missing."""
     theirs = Transaction(source)
     ops, gone = theirs.ops(table), theirs.tombstones(table)
-    tx = Transaction(db)
-    apply_catalog(tx, theirs.catalog.entries())
-    if ops is not None:
-        apply_ops(tx, table, ops.join(rows, "row_id", "left_semi"))
-    if gone is not None:
-        tx.stage(table, tombstones=gone.join(rows, "row_id", "left_semi"))
-    tx.commit()
+    with Transaction(db) as tx:
+        apply_catalog(tx, theirs.catalog.entries())
+        if ops is not None:
+            apply_ops(tx, table, ops.join(rows, "row_id", "left_semi"))
+        if gone is not None:
+            tx.stage(table, tombstones=gone.join(rows, "row_id", "left_semi"))
 
 
 def converged(a: Database, b: Database) -> bool:

@@ -1,9 +1,9 @@
 """One atomic batch of statements over one version of the store.
 
-Writes are staged: inserted rows as tuples, updates and deletes as DataFrames over
-the version's files. Later statements of the batch see them. commit() writes what
-was staged, one folder per table, and publishes one new version; any error before
-leaves the store as it was.
+Single inserted rows are staged as tuples. Updates, deletes and frames are written
+at once, so that their plans run once and later statements of the batch, which see
+them, start from files. Nobody else sees those files before commit() publishes one
+new version; after an error, abort() removes them and the store is as it was.
 """
 
 from __future__ import annotations
@@ -39,8 +39,7 @@ class Transaction:
         self.before = copy.deepcopy(self.manifest)
         self.catalog = Catalog(self.manifest, db.actor)
         self.rows: dict[str, list[tuple]] = {}
-        self.frames: dict[str, list[DataFrame]] = {}
-        self.gone: dict[str, list[DataFrame]] = {}
+        self.written: list[str] = []
 
     # -- what the batch sees
 
@@ -50,14 +49,11 @@ class Transaction:
             parts.append(self.db.store.read(names, OPS))
         if rows := self.rows.get(table):
             parts.append(self.spark.createDataFrame(rows, OPS))
-        parts += self.frames.get(table, [])
         return _union(parts)
 
     def tombstones(self, table: str) -> DataFrame | None:
-        parts = list(self.gone.get(table, []))
-        if names := self.manifest["tombstones"].get(table):
-            parts.append(self.db.store.read(names, TOMBSTONES))
-        return _union(parts)
+        names = self.manifest["tombstones"].get(table)
+        return self.db.store.read(names, TOMBSTONES) if names else None
 
     def base(self, table: str) -> DataFrame | None:
         info = self.catalog.base(table)
@@ -218,7 +214,7 @@ class Transaction:
         if told[0] != told[1] or self.scan(table).df.join(ids.withColumnRenamed("row_id", ROW_ID), ROW_ID, "left_semi").limit(1).count():
             raise InvalidQuery("Primary key already exists")
         long = df.select(F.col(key).alias("row_id"), F.explode(F.array(*cells)).alias("c")).select("row_id", "c.col", "c.cell")
-        self.frames.setdefault(table, []).append(make_ops(long.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")}), self.db.actor))
+        self.stage(table, ops=make_ops(long.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")}), self.db.actor))
         self.refuse_shared_keys(table, ids, [i for i in self.catalog.indexes_of(table) if i.unique])
 
     # -- UPDATE, DELETE
@@ -275,15 +271,15 @@ class Transaction:
         wanted = ids.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.col", "c.cell")
         ops = self.ops(table)
         if ops is None:
-            now = wanted.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>"), "n": F.lit(0)})
+            now = wanted.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")})
         else:
             now = wanted.join(visible_cells(ops).drop("cell"), ["row_id", "col"], "left")
-        told = now.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()
-        if not told["rows"]:
+        done = self.stage(table, ops=make_ops(now, self.db.actor))
+        if done is None:
             return
-        if (told["n"] or 0) > 1 and not resolving:
+        if not resolving and done.where(F.size("preds") > 1).limit(1).count():
             raise InvalidQuery("Logical row column is conflicted")
-        self.frames.setdefault(table, []).append(make_ops(now, self.db.actor))
+        ids = done.select("row_id").distinct()
         for c, v in values.items():
             self.catalog.saw(table, c, {type_of(v)})
         self.refuse_shared_keys(table, ids, [i for i in self.catalog.indexes_of(table) if i.unique and set(i.columns) & set(values)])
@@ -310,7 +306,7 @@ class Transaction:
         if s.returning is not None:
             raise Unsupported("DELETE RETURNING")
         _, ids = self.matched(s.source.table, s.predicate, "DELETE")
-        self.gone.setdefault(s.source.table, []).append(ids)
+        self.stage(s.source.table, tombstones=ids)
         return ir.QueryResult()
 
     # -- DDL
@@ -400,33 +396,52 @@ class Transaction:
 
     # -- the end
 
-    def stage(self, table: str, ops: DataFrame | None = None, tombstones: DataFrame | None = None) -> None:
-        if ops is not None:
-            self.frames.setdefault(table, []).append(ops)
-        if tombstones is not None:
-            self.gone.setdefault(table, []).append(tombstones)
+    def stage(self, table: str, ops: DataFrame | None = None, tombstones: DataFrame | None = None) -> DataFrame | None:
+        """Writes rows for a table's log or its deletions; gives them back as files, or None if there are none."""
+        kind, df, schema = ("ops", ops, OPS) if ops is not None else ("tombstones", tombstones, TOMBSTONES)
+        name = self.db.store.write(df, kind)
+        self.written.append(name)
+        done = self.db.store.read([name], schema)
+        if not done.limit(1).count():
+            return None
+        self.manifest[kind].setdefault(table, []).append(name)
+        return done
 
     def replace(self, table: str, ops: DataFrame) -> None:
         """Makes ``ops`` the whole log of a table."""
-        self.manifest["ops"][table] = []
+        name = self.db.store.write(ops, "ops")
+        self.written.append(name)
         self.rows.pop(table, None)
-        self.frames[table] = [ops]
+        self.manifest["ops"][table] = [name]
 
     def commit(self) -> None:
         """Publishes what was staged; nothing staged publishes nothing."""
-        for table in sorted({*self.rows, *self.frames}):
-            parts = [*self.frames.get(table, [])]
-            if rows := self.rows.get(table):
-                parts.append(self.spark.createDataFrame(rows, OPS).coalesce(1))
-            if parts:
-                name = self.db.store.write(_union(parts), "ops", table)
-                self.manifest["ops"].setdefault(table, []).append(name)
-        for table, parts in sorted(self.gone.items()):
-            name = self.db.store.write(_union(parts).distinct(), "tombstones", table)
-            self.manifest["tombstones"].setdefault(table, []).append(name)
+        for table, rows in sorted(self.rows.items()):
+            name = self.db.store.write(self.spark.createDataFrame(rows, OPS).coalesce(1), "ops")
+            self.written.append(name)
+            self.manifest["ops"].setdefault(table, []).append(name)
         if self.manifest != self.before:
             self.db.store.publish(self.manifest, self.based_on)
 
+    def abort(self) -> None:
+        """Removes files that no version will refer to."""
+        for name in self.written:
+            self.db.store.remove(name)
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        """Commits, or aborts after an error in the block or in committing."""
+        try:
+            if kind is None:
+                self.commit()
+        except BaseException:
+            self.abort()
+            raise
+        if kind is not None:
+            self.abort()
+
 
 def _union(parts: list[DataFrame]) -> DataFrame | None:
     out = None

@@ -24,9 +24,8 @@ def apply_stream(db: Database, table: str, changes: DataFrame, checkpoint: str,
     """Starts taking a stream of writes into ``table``; each micro-batch is one version."""
 
     def take(batch: DataFrame, _: int) -> None:
-        tx = Transaction(db)
-        apply_ops(tx, table, batch)
-        tx.commit()
+        with Transaction(db) as tx:
+            apply_ops(tx, table, batch)
 
     writer = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
