@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerfold.llm import packing, quality_knn, quality_rules, secrets, simhash
-from ledgerfold.llm._common import Scratch, table
+from ledgerfold.llm._common import Scratch, spread, table
 from ledgerfold.llm.queries import tokenizer_path
 
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir))
     return docs

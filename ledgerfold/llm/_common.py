@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it comes from fewer files than there are cores.
+
+    A file of one row group is read by one task however it is split, and work in
+    Python would follow. With many partitions nothing is looked at or moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def fold_crc(column: str, modulus: int = 5) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

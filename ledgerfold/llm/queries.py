@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerfold.llm._common import table
+from ledgerfold.llm._common import spread, table
 
 #: The URL rules that op3 applies.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +39,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.html_extract import extract_pages
 
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.lm import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return score_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,20 +53,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ledgerfold.llm.bpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.quality_knn import fit_labelled, score_documents
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score_documents(docs, fit_labelled(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.quality_rules import quality_report
 
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(spread(table(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
