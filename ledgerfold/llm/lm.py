@@ -9,21 +9,30 @@ the vocabulary's own segmentation, then expectation-maximisation over the
 lattices of all distinct training words.
 
 The whole word is one more arc, scored by its training count under absolute
-discounting; the mass taken off is what the pieces share. The probabilities of
-all texts therefore sum to one at most.
+discounting; the mass taken off is shared by the pieces and, in a small part, by
+words of other classes. Classes are the values of a column (such as the language)
+of the training documents. Each has its own scores, and a document's probability
+is summed over the classes it could be of, as it is over segmentations; the column
+is never read for the document that is scored. The probabilities of all texts
+sum to one at most.
 
 Counting and estimation are distributed: words are counted per task and summed by
-shuffle; what comes to the driver is bounded by the vocabulary. Scoring meets
-counts in two ways. Words with at least one in ``1 / HOT_SHARE`` tokens can be no
-more than that many, and are broadcast; all others join by word, where no word
-has more than that share of the rows.
+shuffle; what comes to the driver is bounded by the vocabulary and the number of
+classes. Scoring meets counts in two ways. Words with at least one in
+``1 / HOT_SHARE`` tokens can be no more than that many, and are broadcast; all
+others join by word, where no word has more than that share of the rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,88 +41,173 @@ from ledgerfold.llm._common import Scratch, fold_crc, lower_words_of, map_rows,
 
 HOT_SHARE = 1e-5
 DISCOUNT = 0.7
+#: Part of the mass taken off that goes to words of other classes.
+SHARED = 0.1
+#: Values of the class column with scores of their own, at most; all others make up one more class.
+MAX_CLASSES = 8
 EM_ROUNDS = 1
 SMOOTHING = 0.01
 FLUSH_WORDS = 400_000
 WORDS_PER_TASK = 40_000
-SPACE = "▁"
+#: Characters laid out at once, and of a word that is walked on its own.
+LAID_OUT = 200_000
+LONG_WORD = 2_000
+SPACE, GAP = "▁", "\n"
 LN10 = math.log(10)
-_NONE = float("-inf")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Arcs between the nodes of words that lie one after another; ``spelled`` are the byte pieces of symbols above ``stop``."""
+
+    start: np.ndarray
+    to: np.ndarray
+    piece: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    spelled: list[np.ndarray]
+
+    def steps(self, forward: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(arcs, where each node's arcs begin, nodes) of nodes equally far from the start of their words, nearest or farthest first."""
+        node = self.to if forward else self.start
+        order = np.argsort(node, kind="stable")
+        # Distances are at most LONG_WORD + 1, and short integers are sorted fastest.
+        depth = (node - self.first[self.word]).astype(np.int16)[order]
+        order = order[np.argsort(depth if forward else -depth, kind="stable")]
+        node = node[order]
+        runs = np.flatnonzero(np.diff(node, prepend=-1))
+        depth = node[runs] - self.first[self.word[order[runs]]]
+        cuts = [*np.flatnonzero(np.diff(depth, prepend=-1)).tolist(), len(runs)]
+        edges = np.append(runs, len(order))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield order[edges[a] : edges[b]], runs[a:b] - edges[a], node[runs[a:b]]
+
+
+def _sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Logs of the sums over runs that begin at ``begins``."""
+    most = np.maximum.reduceat(x, begins)
+    shifted = x - np.repeat(most, np.diff(np.append(begins, len(x))))
+    return most + np.log(np.add.reduceat(np.exp(shifted), begins))
 
 
 class Lattice:
-    """Pieces with natural-log scores; STOP ends a word."""
+    """An automaton of the vocabulary's pieces; the symbol ``stop`` ends a word.
+
+    Words are handled many at a time: one step of a recursion takes the arcs of all
+    words that end equally far from their word's start. Scores have a row for each
+    symbol and a column for each class.
+    """
 
-    def __init__(self, pieces: list[str | None], byte_ids: list[int], scores: list[float] | None = None):
+    def __init__(self, pieces: list[str | None], byte_ids: list[int]):
         import ahocorasick
 
-        self.pieces, self.byte_ids = pieces, byte_ids
+        self.pieces, self.byte_ids = pieces, np.array(byte_ids)
         self.stop = len(pieces)
-        self.scores = scores or [0.0] * (len(pieces) + 1)
         self.single = frozenset(p for p in pieces if p is not None and len(p) == 1)
+        self.sizes = np.array([len(p or "") for p in pieces], dtype=np.int64)
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(pieces):
             if p is not None:
-                self.automaton.add_word(p, (len(p), i))
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
 
-    def arcs(self, word: str) -> list[tuple[int, int, tuple[int, ...]]]:
-        """(start, end, ids) by end: matching pieces, and bytes for a character that is no piece."""
-        s = SPACE + word
-        found = [(end + 1 - size, end + 1, (i,)) for end, (size, i) in self.automaton.iter(s)]
-        if not self.single.issuperset(s):
-            ids = self.byte_ids
-            found += [(k, k + 1, tuple(ids[b] for b in c.encode("utf-8", "surrogatepass"))) for k, c in enumerate(s) if c not in self.single]
-            found.sort(key=lambda a: a[1])
-        return found
-
-    def forward(self, word: str) -> float:
-        """Natural log of the word's probability, summed over all segmentations."""
-        s = SPACE + word
-        if not self.single.issuperset(s):
-            return self.walk(self.arcs(word), len(s))[-1] + self.scores[self.stop]
-        scores = self.scores
-        alpha = [_NONE] * (len(s) + 1)
-        alpha[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        for end, (size, i) in self.automaton.iter(s):
-            x = alpha[end + 1 - size] + scores[i]
-            a = alpha[end + 1]
-            if a == _NONE:
-                alpha[end + 1] = x
-            elif x > a:
-                alpha[end + 1] = x + log1p(exp(a - x))
+    def lay_out(self, words: list[str]) -> Layout:
+        """Matching pieces, and bytes for a character that is no piece."""
+        text = "".join([SPACE + w + GAP for w in words])
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        to, piece = found[:, 0] + 1, found[:, 1]
+        start = to - self.sizes[piece]
+        odd = sorted(set(text) - self.single - {GAP})
+        if odd:
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            marks = np.array([ord(c) for c in odd], dtype="<u4")
+            at = np.flatnonzero(np.isin(codes, marks))
+            start, to = np.concatenate((start, at)), np.concatenate((to, at + 1))
+            piece = np.concatenate((piece, self.stop + 1 + np.searchsorted(marks, codes[at])))
+        word = np.repeat(np.arange(len(words)), lengths + 1)[start]
+        return Layout(start, to, piece, word, first, first + lengths, [self.bytes_of(c) for c in odd])
+
+    def bytes_of(self, character: str) -> np.ndarray:
+        return self.byte_ids[list(character.encode("utf-8", "surrogatepass"))]
+
+    def _alpha(self, at: Layout, steps: Iterable, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums over all ways from a word's start to each node, and the scores of arcs, under one column of scores."""
+        if at.spelled:
+            scores = np.concatenate((scores, [scores[ids].sum() for ids in at.spelled]))
+        arc = scores[at.piece]
+        alpha = np.full(at.last[-1] + 1, -np.inf)
+        alpha[at.first] = 0.0
+        for arcs, begins, nodes in steps:
+            alpha[nodes] = _sums(alpha[at.start[arcs]] + arc[arcs], begins)
+        return alpha, arc
+
+    def forward(self, words: list[str], scores: np.ndarray) -> np.ndarray:
+        """Natural log of each word's probability, summed over all segmentations; a column for each class."""
+        out = np.empty((len(words), scores.shape[1]))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for own in _stretches(order, [len(words[i]) for i in order]):
+            if len(own) == 1 and len(words[own[0]]) > LONG_WORD:
+                out[own[0]] = self._walk(words[own[0]], scores)
             else:
-                alpha[end + 1] = a + log1p(exp(x - a))
-        return alpha[-1] + scores[self.stop]
-
-    def walk(self, arcs, n: int) -> list[float]:
-        alpha = [_NONE] * (n + 1)
+                at = self.lay_out([words[i] for i in own])
+                steps = list(at.steps(forward=True))
+                for z in range(scores.shape[1]):
+                    out[own, z] = self._alpha(at, steps, scores[:, z])[0][at.last]
+        return out + scores[self.stop]
+
+    def _walk(self, word: str, scores: np.ndarray) -> np.ndarray:
+        """The same for one word of any length; only as many sums are held as the longest piece has characters."""
+        held = int(self.sizes.max()) + 1
+        alpha = np.full((held, scores.shape[1]), -np.inf)
         alpha[0] = 0.0
-        for start, end, ids in arcs:
-            x = alpha[start] + sum([self.scores[i] for i in ids])
-            a = alpha[end]
-            alpha[end] = x if a == _NONE else max(a, x) + math.log1p(math.exp(-abs(a - x)))
-        return alpha
-
-    def expect(self, word: str, weight: float, counts: list[float]) -> None:
-        """Adds the expected uses of each piece in ``word`` to ``counts``."""
-        arcs, n, scores, exp = self.arcs(word), len(word) + 1, self.scores, math.exp
-        alpha = self.walk(arcs, n)
-        total = alpha[n]
-        beta = [_NONE] * (n + 1)
-        beta[n] = 0.0
-        for start, end, ids in reversed(arcs):
-            b = beta[end]
-            if b == _NONE or alpha[start] == _NONE:
-                continue
-            x = b + (scores[ids[0]] if len(ids) == 1 else sum([scores[i] for i in ids]))
-            share = weight * exp(alpha[start] + x - total)
-            for i in ids:
-                counts[i] += share
-            b = beta[start]
-            beta[start] = x if b == _NONE else max(b, x) + math.log1p(exp(-abs(b - x)))
-        counts[self.stop] += weight
+        s = SPACE + word
+        ends = groupby(self.automaton.iter(s), itemgetter(0))
+        end, found = next(ends, (-1, ()))
+        for k, c in enumerate(s):
+            ways = []
+            if end == k:
+                ways = [alpha[(k + 1 - self.sizes[i]) % held] + scores[i] for _, i in found]
+                end, found = next(ends, (-1, ()))
+            if c not in self.single:
+                ways.append(alpha[k % held] + scores[self.bytes_of(c)].sum(axis=0))
+            alpha[(k + 1) % held] = np.logaddexp.reduce(ways, axis=0)
+        return alpha[len(s) % held]
+
+    def expect(self, words: list[str], scores: np.ndarray) -> np.ndarray:
+        """Expected uses of each symbol over ``words`` under one column of scores; long words count in parts."""
+        parts = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
+        parts.sort(key=len)
+        counts = np.zeros(self.stop + 1)
+        for own in _stretches(parts, list(map(len, parts))):
+            at = self.lay_out(own)
+            alpha, arc = self._alpha(at, at.steps(forward=True), scores)
+            beta = np.full(len(alpha), -np.inf)
+            beta[at.last] = 0.0
+            for arcs, begins, nodes in at.steps(forward=False):
+                beta[nodes] = _sums(beta[at.to[arcs]] + arc[arcs], begins)
+            share = np.exp(alpha[at.start] + arc + beta[at.to] - alpha[at.last][at.word])
+            uses = np.bincount(at.piece, share, self.stop + 1 + len(at.spelled))
+            counts += uses[: self.stop + 1]
+            for ids, n in zip(at.spelled, uses[self.stop + 1 :], strict=True):
+                np.add.at(counts, ids, n)
+        counts[self.stop] = len(words)
+        return counts
+
+
+def _stretches(items: list, lengths: list[int]) -> Iterator[list]:
+    """``items`` (shortest first) in lists that can be laid out at once; a long one is a list of its own."""
+    own, chars = [], 0
+    for item, n in zip(items, lengths, strict=True):
+        if own and (chars + n > LAID_OUT or n > LONG_WORD):
+            yield own
+            own, chars = [], 0
+        own.append(item)
+        chars += n + 2
+    if own:
+        yield own
 
 
 @lru_cache(maxsize=2)
@@ -128,175 +222,251 @@ def _inventory(path: str):
         if model.is_byte(i):
             byte_ids[int(piece[1:-1], 16)] = i
             pieces.append(None)
-        elif model.is_control(i) or model.is_unknown(i) or any("A" <= c <= "Z" for c in piece):
-            pieces.append(None)  # never in lower-cased text
+        elif model.is_control(i) or model.is_unknown(i) or any("A" <= c <= "Z" for c in piece) or GAP in piece:
+            pieces.append(None)  # never in a lower-cased word
         else:
             pieces.append(piece)
     return model, pieces, byte_ids
 
 
-def lattice_of(path: str, scores: list[float] | None = None) -> Lattice:
+@lru_cache(maxsize=2)
+def lattice_of(path: str) -> Lattice:
     _, pieces, byte_ids = _inventory(path)
-    return Lattice(pieces, byte_ids, scores)
+    return Lattice(pieces, byte_ids)
 
 
-def scores_of(path: str, counts: dict[int, float]) -> list[float]:
-    """Smoothed log probabilities of all pieces that can match, of bytes and of STOP."""
+def scores_of(path: str, counts: np.ndarray) -> np.ndarray:
+    """Smoothed log probabilities, by class, of all pieces that can match, of bytes and of STOP; ``counts`` has a column for each class."""
     _, pieces, byte_ids = _inventory(path)
-    own = {i for i, p in enumerate(pieces) if p is not None} | set(byte_ids) | {len(pieces)}
-    total = sum(counts.get(i, 0.0) for i in own) + SMOOTHING * len(own)
-    return [math.log((counts.get(i, 0.0) + SMOOTHING) / total) if i in own else _NONE for i in range(len(pieces) + 1)]
+    own = sorted({i for i, p in enumerate(pieces) if p is not None} | set(byte_ids) | {len(pieces)})
+    out = np.full(counts.shape, -np.inf)
+    smooth = counts[own] + SMOOTHING
+    out[own] = np.log(smooth / smooth.sum(axis=0))
+    return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c, t): uses in training rows and in all rows; the empty word stands for a text's end."""
-    schema = "word string, c long, t long"
+def count_words(docs: DataFrame, classes: list | None = None, class_column: str | None = None) -> DataFrame:
+    """(word, c, t, c0, c1, ...): uses in training rows, in all rows, and in training rows of each class; the empty word stands for a text's end.
+
+    ``classes`` are values of ``class_column``; rows of other values are of the class after the last of them.
+    """
+    n = len(classes or []) + 1
+    schema = "word string, c long, t long, " + ", ".join(f"c{z} long" for z in range(n))
     fields = spark_schema(docs.sparkSession, schema)
 
     def run(batches):
-        train: dict[bytes, int] = {}
+        by_class: list[dict[bytes, int]] = [{} for _ in range(n)]
         held: dict[bytes, int] = {}
 
         def flush():
-            words = list(dict.fromkeys([*train, *held]))
+            words = list(dict.fromkeys(chain(*by_class, held)))
             for at in range(0, len(words), 20_000):
                 part = words[at : at + 20_000]
-                yield to_batch([(w.decode("utf-8", "replace"), train.get(w, 0), train.get(w, 0) + held.get(w, 0)) for w in part], fields)
-            train.clear()
-            held.clear()
+                uses = [[own.get(w, 0) for w in part] for own in by_class]
+                c = list(map(sum, zip(*uses, strict=True)))
+                t = [n + held.get(w, 0) for n, w in zip(c, part, strict=True)]
+                columns = [[w.decode("utf-8", "replace") for w in part], c, t, *uses]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+            for own in (*by_class, held):
+                own.clear()
 
         for batch in batches:
-            texts, out = batch.column(0), batch.column(1).to_pylist()
+            texts, out, z = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i in range(batch.num_rows):
-                into = held if out[i] else train
+                into = held if out[i] else by_class[z[i]]
                 get = into.get
                 for w in lower_words_of(texts[i].as_py()):
                     into[w] = get(w, 0) + 1
                 into[b""] = get(b"", 0) + 1
-                if len(train) + len(held) > FLUSH_WORDS:
+                if sum(map(len, by_class)) + len(held) > FLUSH_WORDS:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select("text", (fold_crc("doc_id") == 1).alias("held_out"))
-    return rows.mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    z = F.lit(n - 1)
+    for i, value in reversed(list(enumerate(classes or []))):
+        z = F.when(F.col(class_column) == F.lit(value), i).otherwise(z)
+    rows = docs.select("text", (fold_crc("doc_id") == 1).alias("held_out"), z.alias("z"))
+    counts = [c for c in fields.names if c != "word"]
+    return rows.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def _piece_counts(words: DataFrame, path: str, scores: list[float] | None) -> dict[int, float]:
-    """Uses of pieces over distinct training words: of the vocabulary's own segmentation, or expected under ``scores``."""
-    schema = "id int, n double"
-    fields = spark_schema(words.sparkSession, schema)
+def _piece_counts(words: DataFrame, path: str, classes: list[int], scores: np.ndarray | None) -> np.ndarray:
+    """Uses of symbols over each class's distinct training words: of the vocabulary's own segmentation, or expected under ``scores``."""
+    schema = "z int, id int, n double"
 
     def run(batches):
         model, pieces, _ = _inventory(path)
-        lattice = lattice_of(path, scores)
-        counts = [0.0] * (len(pieces) + 1)
+        lattice = lattice_of(path)
+        counts = np.zeros((len(pieces) + 1, len(classes)))
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            if scores is None:
-                for ids in model.encode(own, num_threads=1):
-                    for i in ids:
-                        counts[i] += 1
-                counts[-1] += len(own)
-            else:
-                for w in own:
-                    lattice.expect(w, 1.0, counts)
-        yield to_batch([(i, n) for i, n in enumerate(counts) if n] or [(0, 0.0)], fields)
+            for z in range(len(classes)):
+                own = batch.column(0).filter(pa.compute.greater(batch.column(z + 1), 0)).to_pylist()
+                if not own:
+                    continue
+                if scores is None:
+                    counts[:, z] += np.bincount(list(chain.from_iterable(model.encode(own, num_threads=1))), minlength=len(counts))
+                    counts[-1, z] += len(own)
+                else:
+                    counts[:, z] += lattice.expect(own, scores[:, z])
+        at, z = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at, z])], names=["z", "id", "n"])
 
-    summed = words.select("word").mapInArrow(run, schema).groupBy("id").agg(F.sum("n").alias("n"))
-    return {r["id"]: r["n"] for r in summed.collect()}  # as many rows as the vocabulary has pieces
+    summed = words.select("word", *[f"c{z}" for z in classes]).mapInArrow(run, schema).groupBy("z", "id").agg(F.sum("n").alias("n"))
+    out = np.zeros((len(_inventory(path)[1]) + 1, len(classes)))
+    for r in summed.collect():  # as many rows as the vocabulary has pieces, for each class
+        out[r["id"], r["z"]] = r["n"]
+    return out
 
 
-def train_scores(words: DataFrame, path: str, rounds: int = EM_ROUNDS) -> list[float]:
-    """Log scores of pieces from the distinct training words (column word)."""
-    scores = scores_of(path, _piece_counts(words, path, None))
+def train_scores(words: DataFrame, path: str, classes: list[int], rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log scores of symbols, a column for each of ``classes``, from the distinct training words (columns word, c0, c1, ...)."""
+    scores = scores_of(path, _piece_counts(words, path, classes, None))
     for _ in range(rounds):
-        scores = scores_of(path, _piece_counts(words, path, scores))
+        scores = scores_of(path, _piece_counts(words, path, classes, scores))
     return scores
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, rounds: int = EM_ROUNDS, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Base and model scores of every row of ``docs`` (doc_id, text).
+@dataclass(frozen=True)
+class Totals:
+    """Tokens (n) and distinct tokens (v) of the training documents, whole and by class."""
+
+    n: int
+    v: int
+    class_n: np.ndarray
+    class_v: np.ndarray
+
+    def log_model(self, c: np.ndarray, by_class: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Natural log of each word's probability in each class, from its counts and the log sums of its lattice."""
+        if not self.n:
+            return math.log(0.5) + np.where(np.isneginf(spelled), 0.0, spelled)
+        own = np.maximum(by_class - DISCOUNT, 0) / self.class_n
+        passed = DISCOUNT * self.class_v / self.class_n
+        anywhere = np.maximum(c - DISCOUNT, 0) / (self.n - DISCOUNT * self.v)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(own + passed * SHARED * anywhere[:, None]), np.log(passed * (1 - SHARED)) + spelled)
+
+
+def _classes(docs: DataFrame, class_column: str | None, max_classes: int) -> list:
+    """The most frequent values of the column in training rows."""
+    if class_column is None:
+        return []
+    training = docs.where((fold_crc("doc_id") != 1) & F.col(class_column).isNotNull())
+    top = training.groupBy(class_column).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), class_column).limit(max_classes)
+    return [r[0] for r in top.collect()]
+
+
+def score_documents(
+    docs: DataFrame,
+    vocabulary_path: str,
+    rounds: int = EM_ROUNDS,
+    hot_share: float = HOT_SHARE,
+    class_column: str | None = None,
+    max_classes: int = MAX_CLASSES,
+) -> DataFrame:
+    """Base and model scores of every row of ``docs`` (doc_id, text, and ``class_column`` if one is named).
 
     Training rows are those whose crc32(doc_id as text) mod 5 isn't 1; a null id
     counts as empty text. A null or empty text is its end alone. Repeated rows
-    count and are scored each on their own; further columns are ignored. Without
-    training rows all words rest on the pieces' smoothing.
+    count and are scored each on their own; further columns are ignored. The
+    ``max_classes`` most frequent values of the class column are classes, all
+    other values and null one more. Without training rows all words rest on the
+    pieces' smoothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    counted = scratch.write(count_words(docs))
-    told = counted.agg(F.sum("c").alias("n"), F.sum("t").alias("t"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count("*").alias("words")).first()
-    n, v, tokens, distinct = int(told["n"] or 0), int(told["v"]), int(told["t"] or 0), int(told["words"])
+    values = _classes(docs, class_column, max_classes)
+    counted = scratch.write(count_words(docs, values, class_column))
+    every = range(len(values) + 1)
+    told = counted.agg(
+        *[F.sum(c).alias(c) for c in ("c", "t", *[f"c{z}" for z in every])],
+        *[F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in ("c", *[f"c{z}" for z in every])],
+        F.count("*").alias("words"),
+    ).first()
+    n, v, tokens, distinct = int(told["c"] or 0), int(told["v_c"]), int(told["t"] or 0), int(told["words"])
+    classes = [z for z in every if told[f"c{z}"]] or [0]
+    columns = [f"c{z}" for z in classes]
+    totals = Totals(n, v, np.array([told[c] or 0 for c in columns], dtype=float), np.array([told[f"v_{c}"] for c in columns], dtype=float))
     tasks = max(1, math.ceil(distinct / WORDS_PER_TASK))
     # Dealt evenly by word: counting leaves few partitions, and the lattices are the work.
     spread = scratch.write(counted.where("word <> ''").repartition(tasks, "word"))
-    training = spread.where("c > 0").repartition(tasks, "word")
-    scores = train_scores(training, vocabulary_path, rounds)
+    scores = train_scores(spread.where("c > 0").repartition(tasks, "word"), vocabulary_path, classes, rounds)
     shared = spark.sparkContext.broadcast(scores)
+    base_of = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    models = [f"m{k}" for k in range(len(classes))]
 
-    def start():
-        lattice = lattice_of(vocabulary_path, shared.value)
-        return lambda word, c, t: [(word, c, t, lattice.forward(word))]
-
-    valued = scratch.write(map_rows(spread.repartition(tasks, "word"), "word string, c long, t long, piece_score double", start))
+    def value(batches):
+        lattice = lattice_of(vocabulary_path)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column(1).to_numpy()
+            by_class = np.stack([x.to_numpy() for x in batch.columns[3:]], axis=1)
+            model = totals.log_model(c, by_class, lattice.forward(batch.column(0).to_pylist(), shared.value)) / LN10
+            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base), *map(pa.array, model.T)], names=["word", "c", "t", "base", *models])
 
-    base_of = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    if n:
-        direct, passed = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / n, DISCOUNT * v / n
-    else:
-        direct, passed = F.lit(0.0), 0.5
-    # log10(direct + passed * exp(piece_score)) without underflow
-    deep = F.col("piece_score") / LN10 + math.log10(passed)
-    score_of = F.when(direct > 0, F.log10(direct) + F.log10(1 + F.pow(F.lit(10.0), F.least(deep - F.log10(direct), F.lit(300.0))))).otherwise(deep)
-    scored = valued.select("word", "c", "t", base_of.alias("base"), score_of.alias("model"))
+    valued = spread.repartition(tasks, "word").select("word", "c", "t", *columns)
+    scored = scratch.write(valued.mapInArrow(value, "word string, c long, t long, base double, " + ", ".join(f"{m} double" for m in models)))
 
     hot = scored.where(F.col("t") >= hot_share * tokens).collect()  # 1 / hot_share words at most
-    end_c = counted.where("word = ''").first()
-    end_c = int(end_c["c"]) if end_c else 0
-    end_base = math.log10((end_c + 0.5) / (n + 0.5 * (v + 1)))
-    end_model = math.log10((end_c - DISCOUNT) / n) if end_c else math.log10(0.5)
-    table = spark.sparkContext.broadcast({r["word"].encode("utf-8"): (r["c"] > 0, r["base"], r["model"]) for r in hot})
+    end = counted.where("word = ''").first()
+    end_c = int(end["c"]) if end else 0
+    end_by_class = np.array([[end[c] if end else 0 for c in columns]])
+    end_model = (totals.log_model(np.array([end_c]), end_by_class, np.full((1, len(classes)), -np.inf)) / LN10)[0]
+    prior = end_by_class[0] / end_c if end_c else np.ones(len(classes)) / len(classes)
+    # By word: a row of the table, with its base, whether it is known, and the scores of each class.
+    rows_of = {r["word"].encode("utf-8"): k for k, r in enumerate(hot)}
+    values_of = np.array([[r["c"] > 0, r["base"], *[r[m] for m in models]] for r in hot], dtype=float).reshape(len(hot), 2 + len(models))
+    table = spark.sparkContext.broadcast((rows_of, values_of))
 
     def begin():
-        known = table.value
+        known, hot_values = table.value
+        first = np.array([end_c > 0, base_of(end_c), *end_model], dtype=float)
 
         def row(doc_id, text, held_out, key):
             words = lower_words_of(text)
-            seen = int(end_c > 0)
-            base, model = end_base, end_model
+            at = [known.get(w, -1) for w in words]
             rare: dict[bytes, int] = {}
-            for w in words:
-                if (found := known.get(w)) is not None:
-                    seen += found[0]
-                    base += found[1]
-                    model += found[2]
-                else:
+            for w, k in zip(words, at, strict=True):
+                if k < 0:
                     rare[w] = rare.get(w, 0) + 1
-            yield doc_id, held_out, key, len(words) + 1, seen, base, model, [w.decode("utf-8", "replace") for w in rare], list(rare.values())
+            found = np.array(at, dtype=np.int64)
+            seen, base, *model = (first + hot_values[found[found >= 0]].sum(axis=0)).tolist()
+            yield (doc_id, held_out, key, len(words) + 1, int(seen), base, *model, [w.decode("utf-8", "replace") for w in rare], list(rare.values()))
 
         return row
 
     rows = docs.select("doc_id", "text", (fold_crc("doc_id") == 1).alias("held_out"), F.monotonically_increasing_id().alias("key"))
-    schema = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, model double, rare array<string>, uses array<int>"
+    sums = ["n_known", "base", *models]
+    schema = (
+        "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, "
+        + ", ".join(f"{m} double" for m in models)
+        + ", rare array<string>, uses array<int>"
+    )
     parts = scratch.write(map_rows(rows, schema, begin))
     rare = (
         parts.select("key", F.explode(F.arrays_zip("rare", "uses")).alias("x"))
         .select("key", F.col("x.rare").alias("word"), F.col("x.uses").alias("uses"))
-        .join(scored.select("word", "c", F.col("base").alias("b"), F.col("model").alias("m")), "word")
+        .join(scored.select("word", "c", "base", *models), "word")
         .select(
             "key",
             F.lit(None).cast("long").alias("doc_id"),
             F.lit(None).cast("boolean").alias("held_out"),
             F.lit(None).cast("long").alias("n_tokens"),
             F.when(F.col("c") > 0, F.col("uses")).otherwise(0).cast("long").alias("n_known"),
-            (F.col("uses") * F.col("b")).alias("base"),
-            (F.col("uses") * F.col("m")).alias("model"),
+            *[(F.col("uses") * F.col(m)).alias(m) for m in ("base", *models)],
         )
     )
-    head = parts.select("key", "doc_id", "held_out", "n_tokens", "n_known", "base", "model")
-    return (
-        head.unionByName(rare)
+    whole = (
+        parts.select("key", "doc_id", "held_out", "n_tokens", *sums)
+        .unionByName(rare)
         .groupBy("key")
-        .agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "model")])
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
+        .agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in sums])
+    )
+    # log10 of the sum over classes, from the largest.
+    likely = [F.col(m) + float(math.log10(p)) for m, p in zip(models, prior.tolist(), strict=True)]
+    most = F.greatest(*likely) if len(likely) > 1 else likely[0]
+    score = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in likely), F.lit(0.0)))
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score")
     )

@@ -45,7 +45,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.lm import score_documents
 
-    return score_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
+    return score_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"), class_column="lang")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

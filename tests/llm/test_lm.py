@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ledgerfold.llm import lm
@@ -17,52 +18,85 @@ def held_out(doc_id):
 
 @pytest.fixture(scope="module")
 def lattice():
-    return lm.lattice_of(PATH, lm.scores_of(PATH, {i: 1.0 + i % 7 for i in range(32001)}))
+    return lm.lattice_of(PATH)
 
 
-def all_segmentations(lattice, word):
-    """Sum over all ways to cut the word, by enumeration."""
+@pytest.fixture(scope="module")
+def scores(lattice):
+    n = np.arange(lattice.stop + 1)
+    return lm.scores_of(PATH, np.stack([1.0 + n % 7, 1.0 + n % 3], axis=1))
+
+
+def arcs(lattice, word):
+    """(start, end, ids) of a word's lattice, found by trying every piece at every place."""
     s = lm.SPACE + word
-    arcs = lattice.arcs(word)
+    out = [(k, k + len(p), [i]) for i, p in enumerate(lattice.pieces) if p is not None for k in range(len(s)) if s.startswith(p, k)]
+    return out + [(k, k + 1, lattice.bytes_of(c).tolist()) for k, c in enumerate(s) if c not in lattice.single]
+
+
+def all_segmentations(lattice, word):
+    """The pieces of every way to cut the word, by enumeration."""
+    found, n = arcs(lattice, word), len(word) + 1
 
     def walk(at):
-        if at == len(s):
-            return 1.0
-        return sum(math.exp(sum(lattice.scores[i] for i in ids)) * walk(end) for start, end, ids in arcs if start == at)
+        if at == n:
+            yield []
+        for start, end, ids in found:
+            if start == at:
+                for rest in walk(end):
+                    yield ids + rest
+
+    return [[*ids, lattice.stop] for ids in walk(0)]
+
+
+WORDS = ["the", "thereon", "été", "日本", "x\U0001f642y", "a", "qzx", "nationality", "▁", "the"]
+
+
+def test_forward_sums_all_segmentations(lattice, scores):
+    got = lattice.forward(WORDS, scores)
+    for word, row in zip(WORDS, got, strict=True):
+        for z in (0, 1):
+            wanted = math.log(sum(math.exp(scores[ids, z].sum()) for ids in all_segmentations(lattice, word)))
+            assert row[z] == pytest.approx(wanted, abs=1e-9)
 
-    return math.log(walk(0)) + lattice.scores[lattice.stop]
 
+def test_expected_uses(lattice, scores):
+    wanted = np.zeros(lattice.stop + 1)
+    for word in WORDS:
+        ways = all_segmentations(lattice, word)
+        weight = np.exp([scores[ids, 0].sum() for ids in ways])
+        for ids, share in zip(ways, weight / weight.sum(), strict=True):
+            np.add.at(wanted, ids, share)
+    assert lattice.expect(WORDS, scores[:, 0]) == pytest.approx(wanted, abs=1e-9)
 
-@pytest.mark.parametrize("word", ["the", "thereon", "été", "日本", "x\U0001f642y", "a", "qzx", "nationality"])
-def test_forward_sums_all_segmentations(lattice, word):
-    assert lattice.forward(word) == pytest.approx(all_segmentations(lattice, word), abs=1e-9)
-    counts = [0.0] * (len(lattice.pieces) + 1)
-    lattice.expect(word, 1.0, counts)
-    spelled = sum(n * len(lattice.pieces[i]) for i, n in enumerate(counts[:-1]) if lattice.pieces[i])
-    in_bytes = sum(counts[i] for i in set(lattice.byte_ids))
-    odd = [c for c in lm.SPACE + word if c not in lattice.single]
-    assert spelled + len(odd) == pytest.approx(len(word) + 1)
-    assert in_bytes == pytest.approx(sum(len(c.encode()) for c in odd))
 
+def test_long_words(lattice, scores, monkeypatch):
+    long = ["ab" * 10_000, "abéz日" * 500, "x" * 2001]
+    alone = lattice.forward(long, scores)
+    assert (-1e7 < alone).all() and (alone < -1e3).all()
+    assert lattice.forward(["the", *long, "on"], scores)[1:4] == pytest.approx(alone)
+    monkeypatch.setattr(lm, "LONG_WORD", 30_000)
+    assert lattice.forward(long, scores) == pytest.approx(alone)
+    assert lattice.expect(long, scores[:, 0])[lattice.stop] == 3
 
-def test_long_word_does_not_underflow(lattice):
-    assert -1e7 < lattice.forward("ab" * 10_000) < -1e3
 
+def test_stretches_do_not_matter(lattice, scores, monkeypatch):
+    words = [w * k for w in ("th", "on", "é") for k in range(1, 12)]
+    whole = lattice.forward(words, scores), lattice.expect(words, scores[:, 1])
+    monkeypatch.setattr(lm, "LAID_OUT", 20)
+    assert lattice.forward(words, scores) == pytest.approx(whole[0])
+    assert lattice.expect(words, scores[:, 1]) == pytest.approx(whole[1])
 
-def test_scores_are_a_distribution(lattice):
-    own = [s for s in lattice.scores if s > -math.inf]
-    assert sum(map(math.exp, own)) == pytest.approx(1.0)
 
+def test_scores_are_a_distribution(scores):
+    assert np.exp(scores).sum(axis=0) == pytest.approx([1.0, 1.0])
 
-def test_expectation_raises_likelihood():
-    words = Counter(["thereon", "hereon", "thereat", "hereat", "ander", "under"])
-    flat = lm.scores_of(PATH, {})
-    lattice = lm.lattice_of(PATH, flat)
-    counts = [0.0] * (len(lattice.pieces) + 1)
-    for w in words:
-        lattice.expect(w, 1.0, counts)
-    better = lm.lattice_of(PATH, lm.scores_of(PATH, dict(enumerate(counts))))
-    assert sum(map(better.forward, words)) > sum(map(lattice.forward, words))
+
+def test_expectation_raises_likelihood(lattice):
+    words = ["thereon", "hereon", "thereat", "hereat", "ander", "under"]
+    flat = lm.scores_of(PATH, np.zeros((lattice.stop + 1, 1)))
+    better = lm.scores_of(PATH, lattice.expect(words, flat[:, 0])[:, None])
+    assert lattice.forward(words, better).sum() > lattice.forward(words, flat).sum()
 
 
 def brute_base(docs):
@@ -92,30 +126,58 @@ def test_whole_table(spark, docs, hot_share):
         assert math.isfinite(g[6]) and g[6] < 0
 
 
-def test_words_and_scores_agree_with_the_formula(spark, docs):
-    rows = docs.collect()
-    wanted, counts = brute_base(rows)
-    n, v = sum(counts.values()), len(counts)
+@pytest.mark.parametrize(("column", "most"), [(None, 8), ("source", 8), ("source", 1)])
+def test_scores_agree_with_the_formula(spark, docs, lattice, column, most):
     from ledgerfold.llm._common import Scratch
 
-    scratch = Scratch(spark, "test")
-    training = scratch.write(lm.count_words(docs).where("c > 0 AND word <> ''"))
-    lattice = lm.lattice_of(PATH, lm.train_scores(training, PATH))
+    rows = docs.collect()
+    training = [d for d in rows if not held_out(d.doc_id)]
+    values = [v for v, _ in sorted(Counter(d.source for d in training if d.source).items(), key=lambda x: (-x[1], x[0]))][:most] if column else []
+    class_of = lambda d: values.index(d.source) if column and d.source in values else len(values)
+    classes = sorted({class_of(d) for d in training})
+    counts, by_class = Counter(), {z: Counter() for z in classes}
+    for d in training:
+        tokens = [*lower_words_of(d.text), b""]
+        counts.update(tokens)
+        by_class[class_of(d)].update(tokens)
+    words = Scratch(spark, "test").write(lm.count_words(docs, values, column).where("c > 0 AND word <> ''"))
+    scores = lm.train_scores(words, PATH, classes)
+    n, v = sum(counts.values()), len(counts)
 
-    def word_score(w):
-        piece = lm.DISCOUNT * v / n * math.exp(lattice.forward(w.decode("utf-8", "replace")))
-        return math.log10(max(counts[w] - lm.DISCOUNT, 0) / n + piece) if piece or counts[w] else None
+    def probability(w, k):
+        own = by_class[classes[k]]
+        passed = lm.DISCOUNT * len(own) / sum(own.values())
+        spelled = math.exp(lattice.forward([w.decode("utf-8", "replace")], scores)[0, k]) if w else 0
+        anywhere = max(counts[w] - lm.DISCOUNT, 0) / (n - lm.DISCOUNT * v)
+        return max(own[w] - lm.DISCOUNT, 0) / sum(own.values()) + passed * (lm.SHARED * anywhere + (1 - lm.SHARED) * spelled)
 
-    end = math.log10((counts[b""] - lm.DISCOUNT) / n)
-    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, PATH).collect()}
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, PATH, class_column=column, max_classes=most).collect()}
+    checked = 0
     for d in rows:
-        words = lower_words_of(d.text)
-        if len(words) < 400 and max(map(len, words), default=0) < 300:
-            assert got[d.doc_id, len(words) + 1] == pytest.approx(end + sum(map(word_score, words)), abs=1e-6)
+        tokens = [*lower_words_of(d.text), b""]
+        if len(tokens) < 400 and max(map(len, tokens)) < 200:
+            each = [math.log10(by_class[z][b""] / counts[b""]) + sum(math.log10(probability(w, k)) for w in tokens) for k, z in enumerate(classes)]
+            wanted = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
+            assert got[d.doc_id, len(tokens)] == pytest.approx(wanted, abs=1e-6)
+            checked += 1
+    assert checked > 50
+
+
+def test_classes_help_held_out_documents(spark):
+    """Two languages that share no word: knowing which raises the probability of what is held out."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " ".join("qw"[i % 2] + rng.choice("abcdefghijklmnop") for _ in range(60)), "qw"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = lambda **kind: sum(r.score for r in lm.score_documents(docs, PATH, **kind).collect() if r.held_out)
+    base = sum(r.base_score for r in lm.score_documents(docs, PATH).collect() if r.held_out)
+    assert total(class_column="lang") > total() and total(class_column="lang") > base
 
 
 def test_without_training_rows_and_empty(spark, docs, none):
     only = docs.where("crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 5 = 1")
-    out = lm.score_documents(only, PATH).collect()
-    assert len(out) == only.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.score < 0 for r in out)
-    assert lm.score_documents(none, PATH).collect() == []
+    for column in (None, "lang"):
+        out = lm.score_documents(only, PATH, class_column=column).collect()
+        assert len(out) == only.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.score < 0 for r in out)
+        assert lm.score_documents(none, PATH, class_column=column).collect() == []
