@@ -205,9 +205,7 @@ class Database:
     def needs_compaction(self, table: str, deltas: int = 100, size: int = 1 << 20) -> bool:
         """Whether a table's log has as many folders or bytes as call for compaction."""
         names = Transaction(self).manifest["ops"].get(table, [])
-        path = self.store._path
-        used = sum(self.store.fs.getContentSummary(path(f"{self.store.root}/{n}")).getLength() for n in names)
-        return len(names) >= deltas or used >= size
+        return len(names) >= deltas or self.store.size(names) >= size
 
     def export_catalog_entries(self) -> list[tuple[str, str, str]]:
         """(kind, key, entry as JSON) of every catalog entry, sorted."""

@@ -2,7 +2,8 @@
 
 A table without writes is its registered files and nothing else, so pruning and
 pushdown reach them. With writes, visible cells are laid out one column each and
-laid over the files; deleted rows go by an anti join.
+laid over the files; deleted rows go by an anti join. A log whose size has been
+found small is broadcast, so that files are never shuffled to meet a few writes.
 """
 
 from __future__ import annotations
@@ -53,7 +54,10 @@ def scan_table(
     base: DataFrame | None,
     ops: DataFrame | None,
     tombstones: DataFrame | None,
+    small_log: bool = False,
+    few_deleted: bool = False,
 ) -> Scan:
+    """``small_log`` and ``few_deleted``: what ``ops`` and ``tombstones`` hold has been found to fit a broadcast."""
     schema = catalog.table_schema(table)
     info = catalog.base(table) or {}
     key = info.get("key")
@@ -106,7 +110,15 @@ def scan_table(
 
             wide = logged.select(F.col("row_id").alias(ROW_ID), *[shown(i, c, default(c)).alias(place(i)) for i, c in enumerate(schema.columns)])
         else:
-            both = wide.join(logged.withColumnRenamed("row_id", "_logged"), F.col(ROW_ID) == F.col("_logged"), "full_outer")
+            logged = logged.withColumnRenamed("row_id", "_logged")
+            same = F.col(ROW_ID) == F.col("_logged")
+            if small_log:
+                met = wide.select(ROW_ID).join(F.broadcast(logged.select("_logged")), same, "left_semi")
+                rest = logged.join(F.broadcast(met), same, "left_anti")  # as many as the log has rows, at most
+                missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema]
+                both = wide.join(F.broadcast(logged), same, "left").unionByName(rest.select(*missing, *logged.columns))
+            else:
+                both = wide.join(logged, same, "full_outer")
             new = F.col(ROW_ID).isNull()
             wide = both.select(
                 F.coalesce(ROW_ID, "_logged").alias(ROW_ID),
@@ -120,7 +132,8 @@ def scan_table(
         wide = spark.createDataFrame([], fields)
         ranks = {c.name: ranks[c.name] or c.type for c in schema.columns}
     if tombstones is not None and keyed:
-        wide = wide.join(tombstones.withColumnRenamed("row_id", ROW_ID), ROW_ID, "left_anti")
+        gone = tombstones.withColumnRenamed("row_id", ROW_ID)
+        wide = wide.join(F.broadcast(gone) if few_deleted else gone, ROW_ID, "left_anti")
     columns = {c.name: Typed(F.col(place(i)), ranks[c.name], opaque=c.name in opaque) for i, c in enumerate(schema.columns)}
     return Scan(wide, schema, columns, keyed)
 

@@ -30,6 +30,11 @@ from ledgerfold.sources.store import OPS, TOMBSTONES
 if TYPE_CHECKING:
     from ledgerfold.database import Database
 
+#: Logs and lists of deleted rows of up to so many bytes in files are broadcast; staged rows are the driver's own.
+BROADCAST_BYTES = 2 << 20
+#: Written rows of which the keys are broadcast when a unique index is checked.
+BROADCAST_ROWS = 100_000
+
 
 class Transaction:
     def __init__(self, db: Database):
@@ -61,7 +66,8 @@ class Transaction:
 
     def scan(self, table: str) -> Scan:
         self.catalog.need_table(table)
-        return scan_table(self.spark, self.catalog, table, self.base(table), self.ops(table), self.tombstones(table))
+        small = {kind: self.db.store.size(self.manifest[kind].get(table, [])) <= BROADCAST_BYTES for kind in ("ops", "tombstones")}
+        return scan_table(self.spark, self.catalog, table, self.base(table), self.ops(table), self.tombstones(table), small["ops"], small["tombstones"])
 
     # -- statements
 
@@ -290,13 +296,19 @@ class Transaction:
             return
         scan = self.scan(table)
         written = ids.select(F.col("row_id").alias("_written")).distinct()
+        few = written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        held = F.broadcast if few else (lambda df: df)
         for index in unique:
             keys = [scan.columns[c] for c in index.columns]
             full = scan.df
             for k in keys:
                 full = full.where(~is_null(k))
-            flagged = full.join(written, F.col(ROW_ID) == F.col("_written"), "left")
-            shared = flagged.groupBy(*[k.col.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"), F.count("_written").alias("w"))
+            full = full.select(ROW_ID, *[k.col.alias(f"k{i}") for i, k in enumerate(keys)])
+            names = full.columns[1:]
+            flagged = full.join(held(written), F.col(ROW_ID) == F.col("_written"), "left")
+            if few:  # only rows that share a key with a written one need to meet
+                flagged = flagged.join(held(flagged.where("_written IS NOT NULL").select(*names).distinct()), names, "left_semi")
+            shared = flagged.groupBy(*names).agg(F.count("*").alias("n"), F.count("_written").alias("w"))
             if shared.where("n > 1 AND w > 0").limit(1).count():
                 raise InvalidQuery("Unique index violation")
 
