@@ -24,20 +24,21 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [urlfilter.BROADCAST_RULES, 0])
-def test_rules(spark, limit):
+@pytest.mark.parametrize(("limit", "joins"), [(urlfilter.BROADCAST_RULES, urlfilter.MAX_JOINS), (urlfilter.BROADCAST_RULES, 0), (0, 0)])
+def test_rules(spark, limit, joins):
     pages = spark.createDataFrame([(i, u, "h", 0, "r") for i, u, _ in URLS], "page_id long, url string, html string, row int, rule string")
-    out = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, URL_RULES), broadcast_rules=limit).collect()
+    out = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, URL_RULES), broadcast_rules=limit, max_joins=joins).collect()
     key = lambda t: str(t)
     assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in out], key=key) == sorted([(i, *w) for i, _, w in URLS], key=key)
-    plan = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, URL_RULES))._jdf.queryExecution().toString()
+    plan = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, URL_RULES), broadcast_rules=limit, max_joins=joins)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_longest_rule_of_any_shape(spark):
+@pytest.mark.parametrize("joins", [urlfilter.MAX_JOINS, 0])
+def test_longest_rule_of_any_shape(spark, joins):
     rules = [("a.com", "block"), ("a.com/x", "allow"), ("b.a.com/", "block"), ("a.com/xy/z", "block"), ("a.com/xy/z", "allow"), (None, "block")]
     pages = spark.createDataFrame([(1, "h://a.com"), (2, "h://c.a.com/xq"), (3, "h://b.a.com/xq"), (4, "h://a.com/xy/zz"), (5, "h://a.co/x")], "page_id long, url string")
-    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(pages, urlfilter.rule_table(spark, rules)).collect()}
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(pages, urlfilter.rule_table(spark, rules), max_joins=joins).collect()}
     assert got == {1: ("a.com", "block"), 2: ("a.com/x", "allow"), 3: ("b.a.com/", "block"), 4: ("a.com/xy/z", "allow"), 5: (None, "allow")}
 
 
