@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._common import Scratch, fold_crc, lower_words_of, map_rows, spark_schema, to_batch
+from ledgerfold.llm._common import Scratch, fold_crc, lower_words_of, map_rows, spark_schema
 
-HOT_SHARE = 1e-5
+HOT_SHARE = 2e-6
 DISCOUNT = 0.7
 #: Part of the mass taken off that goes to words of other classes.
 SHARED = 0.1
@@ -408,15 +408,16 @@ def score_documents(
     valued = spread.repartition(tasks, "word").select("word", "c", "t", *columns)
     scored = scratch.write(valued.mapInArrow(value, "word string, c long, t long, base double, " + ", ".join(f"{m} double" for m in models)))
 
-    hot = scored.where(F.col("t") >= hot_share * tokens).collect()  # 1 / hot_share words at most
+    hot = scored.where(F.col("t") >= hot_share * tokens)  # 1 / hot_share words at most
+    hot = hot.select("word", (F.col("c") > 0).cast("double").alias("known"), "base", *models).toArrow()
     end = counted.where("word = ''").first()
     end_c = int(end["c"]) if end else 0
     end_by_class = np.array([[end[c] if end else 0 for c in columns]])
     end_model = (totals.log_model(np.array([end_c]), end_by_class, np.full((1, len(classes)), -np.inf)) / LN10)[0]
     prior = end_by_class[0] / end_c if end_c else np.ones(len(classes)) / len(classes)
     # By word: a row of the table, with its base, whether it is known, and the scores of each class.
-    rows_of = {r["word"].encode("utf-8"): k for k, r in enumerate(hot)}
-    values_of = np.array([[r["c"] > 0, r["base"], *[r[m] for m in models]] for r in hot], dtype=float).reshape(len(hot), 2 + len(models))
+    rows_of = {w.encode("utf-8"): k for k, w in enumerate(hot.column(0).to_pylist())}
+    values_of = np.stack([x.to_numpy() for x in hot.columns[1:]], axis=1)
     table = spark.sparkContext.broadcast((rows_of, values_of))
 
     def begin():
