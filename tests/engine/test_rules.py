@@ -227,3 +227,28 @@ def test_pushdown_reaches_the_files(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(o_orderkey,5)" in plan and "EqualTo(o_orderstatus,F)" in plan
     assert "o_custkey" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("most", [None, -1])
+def test_small_and_large_logs_show_the_same(spark, monkeypatch, most):
+    """Whether the log is broadcast or shuffled: rows of files, changed, deleted and new ones."""
+    from ledgerfold.operators import transaction
+
+    if most is not None:
+        monkeypatch.setattr(transaction, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(transaction, "BROADCAST_ROWS", most)
+    db = Database.in_memory(spark)
+    db.register_files("nation", "/root/testdata/sf0.001/nation.parquet", key="n_nationkey")
+    db.translate_and_execute("CREATE UNIQUE INDEX names ON nation (n_name)")
+    db.translate_and_execute(f"INSERT INTO nation (id, n_nationkey, n_name) VALUES ({uid(A)}, 99, 'new')")
+    db.translate_and_execute("UPDATE nation SET n_name = 'moved' WHERE n_nationkey = 3; DELETE FROM nation WHERE n_nationkey = 4")
+    with pytest.raises(EngineError, match="Unique index violation"):
+        db.translate_and_execute("UPDATE nation SET n_name = 'moved' WHERE n_nationkey = 5")
+    with pytest.raises(EngineError, match="Unique index violation"):
+        db.translate_and_execute("UPDATE nation SET n_name = 'same' WHERE n_regionkey = 1")
+    shown = {r.n_nationkey: r.n_name for r in db.dataframe("SELECT n_nationkey, n_name FROM nation").collect()}
+    files = {r.n_nationkey: r.n_name for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect()}
+    assert shown == {k: v for k, v in files.items() if k != 4} | {3: "moved", 99: "new"}
+    plan = db.dataframe("SELECT n_name FROM nation")._jdf.queryExecution().toString()
+    assert ("FullOuter" in plan) == (most == -1)
+    db.close()
