@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks on
 their own: link density, stop-word density and length, with the page's own
 elements (``nav``, ``aside``, ``form``, class and id names, ``article``) as
-evidence. Blocks too short to tell stay open; in the second pass they take the
+evidence. Elements that hold an article speak for their own blocks only; all
+others are judged by links, stop words and length. Blocks too short to tell stay open; in the second pass they take the
 label of the nearest decided neighbours. Good blocks make the text.
 """
 
@@ -192,12 +193,9 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> None:
     """The first pass."""
-    held = any(b.inside and len(b.text) >= LOW_CHARS for b in blocks) or any(b.inside for b in blocks)
     for b in blocks:
         density = min(1.0, b.linked / len(b.text))
-        if held and not b.inside:
-            b.label = BAD
-        elif density > (0.8 if b.inside else MAX_LINKS):
+        if density > (0.8 if b.inside else MAX_LINKS):
             b.label = BAD if not b.inside or b.kind == "li" or len(b.text) < LOW_CHARS else OPEN
         elif b.inside:
             b.label = GOOD

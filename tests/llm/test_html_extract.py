@@ -26,6 +26,15 @@ def test_cases(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "small",
+    ["<div class='text-center'>By Ann</div>", "<div class='post-title'>By Ann</div>", "<div class='entry-meta'>By Ann</div>", "<article>By Ann</article>"],
+)
+def test_small_good_element_leaves_the_rest_of_the_page(small):
+    other = "<div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div>"
+    assert main_text(f"<body>{small}<div class='copy'><p>{GOOD}</p><p>{GOOD}</p></div>{other}</body>") == f"By Ann\n\n{GOOD}\n\n{GOOD}"
+
+
 def test_many_unclosed_and_long():
     assert main_text("<div>" * 5000 + GOOD) == GOOD
     assert main_text("<article>" + f"<p>{GOOD}</p>" * 3000 + "</article>").count("\n\n") == 2999
