@@ -70,9 +70,11 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 
 class Block:
+    """``inside`` numbers the outermost good element around the block; 0 for none."""
+
     __slots__ = ("inside", "kind", "label", "linked", "text")
 
-    def __init__(self, text: str, linked: int, inside: bool, kind: str):
+    def __init__(self, text: str, linked: int, inside: int, kind: str):
         self.text, self.linked, self.inside, self.kind, self.label = text, linked, inside, kind, OPEN
 
 
@@ -113,6 +115,7 @@ def blocks_of(page: str) -> list[Block]:
     link = 0
     skipped, skip_depth = "", 0
     inside: list[str] = []  # the open elements that hold an article
+    articles = 0  # outermost ones so far
     kind = ""
 
     def close() -> None:
@@ -121,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                blocks.append(Block(text, linked, bool(inside), kind))
+                blocks.append(Block(text, linked, articles if inside else 0, kind))
         linked = breaks = 0
 
     at, n = 0, len(page)
@@ -184,6 +187,7 @@ def blocks_of(page: str) -> list[Block]:
             close()
             skipped, skip_depth, link = tag, 1, 0
         elif sign == GOOD:
+            articles += not inside
             inside.append(tag)
         elif inside and tag == inside[-1]:
             inside.append(tag)  # so that its end doesn't end the article
@@ -196,7 +200,7 @@ def classify(blocks: list[Block]) -> None:
     for b in blocks:
         density = min(1.0, b.linked / len(b.text))
         if density > (0.8 if b.inside else MAX_LINKS):
-            b.label = BAD if not b.inside or b.kind == "li" or len(b.text) < LOW_CHARS else OPEN
+            b.label = OPEN if b.inside else BAD
         elif b.inside:
             b.label = GOOD
         elif _NOTICE.search(b.text) and len(b.text) < HIGH_CHARS:
@@ -215,8 +219,15 @@ def classify(blocks: list[Block]) -> None:
 
 
 def inherit(blocks: list[Block]) -> None:
-    """The second pass: open blocks take the label of the nearest decided ones; a heading that of what follows."""
+    """The second pass: open blocks take the label of the nearest decided ones; a heading that of what follows.
+
+    An open block of an article that has good ones looks at no others, so that a
+    list of links at its edge isn't lost to what is around the article; where nothing
+    of the page is good, it stays.
+    """
     n = len(blocks)
+    none = all(b.label != GOOD for b in blocks)
+    articles = {b.inside: GOOD for b in blocks if b.inside and (none or b.label == GOOD)}
     before, after = [(-1, BAD)] * n, [(n, BAD)] * n
     last = (-1, BAD)
     for i, b in enumerate(blocks):
@@ -232,6 +243,8 @@ def inherit(blocks: list[Block]) -> None:
     for i, b in enumerate(blocks):
         if b.label != OPEN:
             decided.append(b.label)
+        elif b.inside in articles:
+            decided.append(articles[b.inside])
         elif before[i][1] == after[i][1] or b.kind in _HEADING:
             decided.append(after[i][1])
         else:

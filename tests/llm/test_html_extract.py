@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from ledgerfold.llm.html_extract import extract_pages, main_text
@@ -35,6 +37,21 @@ def test_small_good_element_leaves_the_rest_of_the_page(small):
     assert main_text(f"<body>{small}<div class='copy'><p>{GOOD}</p><p>{GOOD}</p></div>{other}</body>") == f"By Ann\n\n{GOOD}\n\n{GOOD}"
 
 
+LINKED = [
+    f"<h1><a href=1>Title</a></h1><p>{GOOD}</p>",
+    f"<p>{GOOD}</p><p><a href=1>{GOOD}</a></p><p><a href=2>Short link</a></p><p>{GOOD}</p>",
+    f"<p>{GOOD}</p><h2>References</h2><ol>" + "".join(f"<li><a href={i}>{GOOD if i % 2 else 'A title'}</a></li>" for i in range(9)) + "</ol>",
+    "<p><a href=1>The whole of it</a></p>",
+]
+
+
+@pytest.mark.parametrize("body", LINKED)
+def test_links_of_an_article_stay(body):
+    text = re.sub(r"\n+", "\n\n", re.sub("<[^>]*>", "\n", body)).strip()
+    around = "<div><a href=1>Home</a> | <a href=2>News</a></div>"
+    assert main_text(f"<body>{around}<article>{body}</article>{around}</body>") == text
+
+
 def test_many_unclosed_and_long():
     assert main_text("<div>" * 5000 + GOOD) == GOOD
     assert main_text("<article>" + f"<p>{GOOD}</p>" * 3000 + "</article>").count("\n\n") == 2999
