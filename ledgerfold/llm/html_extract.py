@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 
@@ -35,7 +37,10 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED = frozenset("nav footer aside form menu button dialog head search label input fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An excluded one of these ends at the next block-level tag if nothing closes it.
-_SHORT_LIVED = frozenset("p li dt dd option h1 h2 h3 h4 h5 h6 label button td th tr".split())
+_SHORT_LIVED = frozenset("head p li dt dd option h1 h2 h3 h4 h5 h6 label button td th tr".split())
+#: What ends an element in it that nothing else closes, and what may hold an article.
+_ENCLOSING = _BLOCK - frozenset("html body p".split())
+_HOLDERS = frozenset("article main div section td".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 _BAD_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox promo promoted promotion sponsor sponsored banner cookie cookies "
@@ -78,9 +83,9 @@ class Block:
         self.text, self.linked, self.inside, self.kind, self.label = text, linked, inside, kind, OPEN
 
 
-def _evidence(tag: str, attributes: str, in_article: bool) -> int:
+def _evidence(tag: str, attributes: str, in_article: bool, forms: bool = False) -> int:
     """BAD for an element to leave out, GOOD for one that holds the article, else OPEN."""
-    if tag in _DROPPED:
+    if tag in _DROPPED and not (forms and tag == "form"):
         return BAD
     if tag == "header":
         return OPEN if in_article else BAD
@@ -107,62 +112,125 @@ def _evidence(tag: str, attributes: str, in_article: bool) -> int:
     return GOOD if tag in ("article", "main") or (good and tag in ("div", "section", "td")) else OPEN
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks outside of elements that are left out."""
+def _tokens(page: str) -> list[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of all tags; no name for comments and for raw elements, whole."""
+    tokens = []
+    at, n = 0, len(page)
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        closing, tag, attributes = bool(m[1]), (m[2] or "").lower(), m[3] or ""
+        if tag in _RAW and not closing:
+            tag = ""
+            if not (attributes.endswith("/") and m[2].lower() in ("svg", "math")):
+                end = re.compile(rf"</{m[2]}\s*[^>]*>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else (n if m[2].lower() in ("script", "style", "textarea", "title") else at)
+        tokens.append((m.start(), at, closing, tag, attributes))
+        if at >= n:
+            break
+    return tokens
+
+
+class _Page:
+    """A page's tags, and where each element ends."""
+
+    def __init__(self, page: str):
+        self.page, self.tokens = page, _tokens(page)
+        self.good: list[int] | None = None
+        #: Index of the own closing tag of each opening one.
+        self.ends: dict[int, int] = {}
+        opened: dict[str, list[int]] = {}
+        for i, (_, _, closing, tag, attributes) in enumerate(self.tokens):
+            if not closing:
+                if tag and tag not in _VOID and not attributes.endswith("/"):
+                    opened.setdefault(tag, []).append(i)
+            elif opened.get(tag):
+                self.ends[opened[tag].pop()] = i
+
+    def next_good(self, i: int) -> int:
+        """Index of the first tag after ``i`` of an element that holds an article."""
+        if self.good is None:
+            self.good = [k for k, t in enumerate(self.tokens) if t[3] in _HOLDERS and not t[2] and _evidence(t[3], t[4], False) == GOOD]
+        at = bisect_right(self.good, i)
+        return self.good[at] if at < len(self.good) else len(self.tokens)
+
+    def skip(self, i: int, around: int | None, article: bool) -> tuple[int, bool]:
+        """Where the skip of the excluded element of tag ``i`` ends, and whether that tag belongs to it.
+
+        ``around`` is where the innermost enclosing element ends, ``article`` whether
+        a long text of an article came before.
+        """
+        end = self.ends.get(i)
+        if end is not None and (around is None or end < around):
+            return end, True
+        stop = len(self.tokens) if around is None else around
+        good = self.next_good(i)
+        if good < stop:
+            return good, False
+        # Never closed: what it would take with it is left out only if that can't be the article.
+        length = (self.tokens[stop][0] if stop < len(self.tokens) else len(self.page)) - self.tokens[i][1]
+        if not article and (around is None or 2 * length > len(self.page)):
+            stop = next((k for k in range(i + 1, stop) if self.tokens[k][3] in _BLOCK), stop)
+        return stop, False
+
+
+def _cut(page: _Page, forms: bool = False, articles_end: bool = False) -> tuple[list[Block], set[str]]:
+    """Blocks outside of elements that are left out, and the names of forms and articles among these.
+
+    With ``forms``, a form is left out by its names only; with ``articles_end``, an
+    article ends any skip, as ``main`` always does.
+    """
     blocks: list[Block] = []
+    missed: set[str] = set()
     texts: list[str] = []
     linked = breaks = 0
     link = 0
-    skipped, skip_depth = "", 0
-    inside: list[str] = []  # the open elements that hold an article
-    articles = 0  # outermost ones so far
+    short_lived = False
+    skip_to, own_end = -1, False  # the tag that ends a skip, and whether it belongs to what is skipped
+    around: list[int] = []  # ends of the open elements, as a heap
+    inside: list[int] = []  # ends of the open elements that hold an article, none beyond those before it
+    articles = held = 0  # outermost ones so far, and the length of their text
     kind = ""
 
     def close() -> None:
-        nonlocal linked, breaks
+        nonlocal linked, breaks, held
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             texts.clear()
             if text:
                 blocks.append(Block(text, linked, articles if inside else 0, kind))
+                held += len(text) if inside else 0
         linked = breaks = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            piece, at = page[at:], n
-            if not skipped:
-                texts.append(piece)
-                linked += len(piece.strip()) if link else 0
-            break
-        if m.start() > at and not skipped:
-            piece = page[at : m.start()]
-            texts.append(piece)
-            if link:
-                linked += len(" ".join(html.unescape(piece).split()))
-            if breaks and piece.strip():
-                breaks = 0
-        at = m.end()
-        if not m[2]:
+    def take(piece: str) -> None:
+        nonlocal linked, breaks
+        texts.append(piece)
+        if link:
+            linked += len(" ".join(html.unescape(piece).split()))
+        if breaks and piece.strip():
+            breaks = 0
+
+    at = 0
+    for i, (start, end, closing, tag, attributes) in enumerate(page.tokens):
+        while inside and inside[-1] < i:
+            inside.pop()
+        if start > at and i > skip_to:
+            take(page.page[at:start])
+        at = end
+        if not tag:
             continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3]
-        if tag in _RAW and not closing:
-            if attributes.endswith("/") and tag in ("svg", "math"):
+        if i < skip_to:
+            if not closing and tag in ("article", "main") and (articles_end or tag == "main") and _evidence(tag, attributes, False) == GOOD:
+                skip_to = -1
+            elif short_lived and tag in _BLOCK:
+                skip_to = -1
+            else:
+                if not closing and tag in ("article", "main"):
+                    missed.add("article")
                 continue
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else at)
-            continue
-        if skipped:
-            if tag == skipped:
-                skip_depth += -1 if closing else 1
-                if skip_depth == 0:
-                    skipped = ""
-                    continue
-            if not (skipped in _SHORT_LIVED and tag in _BLOCK and (not closing or tag != skipped)):
+        elif i == skip_to:
+            skip_to = -1
+            if own_end:
                 continue
-            if skip_depth > 0 and skipped in _SHORT_LIVED:
-                skipped, skip_depth = "", 0  # never closed
         if tag in _BLOCK:
             close()
             kind = "" if closing else tag
@@ -171,27 +239,59 @@ def blocks_of(page: str) -> list[Block]:
             texts.append(" ")
             if breaks > 1:
                 close()
-        elif tag in ("img", "hr", "wbr"):
-            pass
         if tag == "a":
             link = 0 if closing else 1
         if closing:
-            if inside and tag in inside:
-                while inside.pop() != tag:
-                    pass
+            while inside and inside[-1] <= i:
+                inside.pop()
             continue
         if tag in _VOID or attributes.endswith("/"):
             continue
-        sign = _evidence(tag, attributes, bool(inside))
+        sign = _evidence(tag, attributes, bool(inside), forms)
         if sign == BAD:
             close()
-            skipped, skip_depth, link = tag, 1, 0
+            while around and around[0] <= i:
+                heappop(around)
+            short_lived, link = tag in _SHORT_LIVED, 0
+            if short_lived:
+                own_end = i in page.ends
+                skip_to = page.ends.get(i, len(page.tokens))
+            else:
+                skip_to, own_end = page.skip(i, around[0] if around else None, held >= HIGH_CHARS)
+            if tag == "form":
+                missed.add("form")
         elif sign == GOOD:
             articles += not inside
-            inside.append(tag)
-        elif inside and tag == inside[-1]:
-            inside.append(tag)  # so that its end doesn't end the article
+            last = page.ends.get(i, len(page.tokens))
+            inside.append(min(last, inside[-1]) if inside else last)
+        if tag in _ENCLOSING and i in page.ends:
+            heappush(around, page.ends[i])
+    if at < len(page.page) and skip_to < 0:
+        take(page.page[at:])
     close()
+    return blocks, missed
+
+
+def _weight(blocks: list[Block]) -> int:
+    classify(blocks)
+    return sum(len(b.text) for b in blocks if b.label == GOOD)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks outside of elements that are left out.
+
+    A form that holds most of the page's good text isn't left out, nor is the only
+    article, in whatever it lies.
+    """
+    parsed = _Page(page)
+    blocks, missed = _cut(parsed)
+    forms = False
+    if "form" in missed:
+        opened, among = _cut(parsed, forms=True)
+        if _weight(opened) > 2 * _weight(blocks):
+            blocks, missed, forms = opened, among, True
+    if "article" in missed and not any(b.inside for b in blocks):
+        blocks, _ = _cut(parsed, forms, articles_end=True)
     return blocks
 
 

@@ -52,6 +52,37 @@ def test_links_of_an_article_stay(body):
     assert main_text(f"<body>{around}<article>{body}</article>{around}</body>") == text
 
 
+LONG = "".join(f"<p>{GOOD}</p>" for _ in range(4))
+WHOLE = "\n\n".join([GOOD] * 4)
+MENU = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+SKIPS = [
+    (f"<body><form action='x.aspx'><input type=hidden><nav>{MENU}</nav><div>{LONG}</div></form></body>", WHOLE),
+    (f"<body><form><div class=ad>Buy</div><article>{LONG}</article><footer>x</footer></form></body>", WHOLE),
+    (f"<article>{LONG}<form><p>{GOOD}</p></form></article>", WHOLE),
+    *[(f"<body><div id=wrap><{tag}>{MENU}<article>{LONG}</article></div></body>", WHOLE) for tag in ("nav", "form", "aside", "div class='ad'", "header")],
+    *[(f"<body><{tag}>{MENU}<main>{LONG}</main><footer>x</footer></body>", WHOLE) for tag in ("nav", "aside", "div class='ad'")],
+    *[(f"<body><{tag}>{MENU}<div class='post-content'>{LONG}</div></body>", WHOLE) for tag in ("nav", "form", "aside")],
+    *[(f"<body><div id=top><{tag}>{MENU}</div><div class='copy'>{LONG}</div></body>", WHOLE) for tag in ("nav", "aside", "form")],
+    (f"<body><div id=wrap><nav>{MENU}{LONG}</div></body>", WHOLE),
+    (f"<html><head><meta charset=utf-8><title>t</title><body><div>{LONG}</div></body></html>", WHOLE),
+    (f"<article>{LONG}</article><section id='comments'><article class='comment'><p>{GOOD}</p></article></section>", WHOLE),
+    (f"<article>{LONG}</article><aside><article><p>{GOOD}</p></article></aside>", WHOLE),
+    (f"<article>{LONG}</article><section id='comments'><p>{GOOD}</p><p>{GOOD}", WHOLE),
+    (f"<article>{LONG}</article><footer>{LONG}", WHOLE),
+    (f"<div class='content'><div class='ad'><div>Buy</div></div>{LONG}</div><div class='ad'>{GOOD}</div>", WHOLE),
+]
+
+
+@pytest.mark.parametrize("page, text", SKIPS)
+def test_what_ends_a_skip(page, text):
+    assert main_text(page) == text
+
+
+def test_many_skips_are_linear():
+    for tag in ("<nav>", "<form>", "<div class=ad>", "<div><aside>", "<form></form>", "<nav></div>", "<section class=content><nav>"):
+        assert main_text(tag * 20000 + f"<article><p>{GOOD}</p></article>") == GOOD
+
+
 def test_many_unclosed_and_long():
     assert main_text("<div>" * 5000 + GOOD) == GOOD
     assert main_text("<article>" + f"<p>{GOOD}</p>" * 3000 + "</article>").count("\n\n") == 2999
