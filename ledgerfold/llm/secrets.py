@@ -6,20 +6,24 @@ Three kinds of span are found by pattern: ``assign`` (a name such as password, a
 sign and a value), ``access`` and ``hex``. Positions come from the lengths of the
 pieces between matches, so the work is linear in the text.
 
-The method adds spans of kind ``random``. Candidates are long runs of letters,
-digits and ``+/_=-`` with several digits, outside of all pattern spans. An
-encoding is inferred from the characters of each (hex, base32 or base64), and
-under it three tests ask whether the token could be uniform noise: chi-squared
-uniformity of its alphabet, the number of runs above and below the alphabet's
-middle, and its serial correlation. A candidate that passes them all gets a
-p-value against ordinary tokens: the likelihood ratio of models of ordinary
-words, capitals and numbers to the uniform one, which an ordinary token exceeds
+The method adds spans of kind ``random``. Candidates are runs of at least 16
+letters, digits and ``+/_=-`` with a letter, outside of all pattern spans. An
+encoding is inferred from the characters of each (hex, base32, base36, base62 or
+base64), and under it three tests ask whether the token could be uniform noise:
+chi-squared uniformity of its alphabet, the number of runs above and below the
+alphabet's middle, and its serial correlation. A candidate that passes them all
+gets a p-value against ordinary tokens: the likelihood ratio of models of ordinary
+words, capitals and numbers, by how kinds of characters follow each other and how
+often letters are, to the uniform one, which an ordinary token exceeds
 with at most that probability and which falls with length. The
 Benjamini-Hochberg step over a document's candidates controls false discoveries.
 """
 
 from __future__ import annotations
 
+import math
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +31,36 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 #: A run of 32 or more is the same as a maximal run that is kept if it has 32 or more.
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 
 MIN_ASSIGN = 8
-MIN_DIGITS = 3
+MIN_RANDOM = 16
 #: Level of each test of the battery, as a normal deviate, and of false discoveries.
 MAX_DEVIATE = 3.3
 DISCOVERY_LEVEL = 1e-3
 MASK = "[SECRET]"
 
-_ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-}
-#: Probability of one character of a class in ordinary words, capitals and numbers.
+_LOWER, _UPPER, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+#: Pattern and alphabet of each encoding; the first that fits is taken, base64 if none does.
+_ENCODINGS = (
+    ("^[0-9a-f]+$", "0123456789abcdef"),
+    ("^[0-9a-fA-F]+$", "0123456789abcdef"),
+    ("^[A-Z2-7]+=*$", _UPPER + "234567"),
+    ("^[a-z2-7]+=*$", _LOWER + "234567"),
+    ("^[A-Z0-9]+=*$", _UPPER + _DIGITS),
+    ("^[a-z0-9]+=*$", _LOWER + _DIGITS),
+    ("^[A-Za-z0-9]+=*$", _UPPER + _LOWER + _DIGITS),
+)
+_BASE64 = _UPPER + _LOWER + _DIGITS + "+/"
+#: Probability of the kind (lower, upper, digit, other) of the first character, and of each next one after each kind.
+_FIRST = (0.4, 0.3, 0.2, 0.1)
 _ORDINARY = (
-    {"lower": 0.80 / 26, "digit": 0.08 / 10, "upper": 0.08 / 26, "other": 0.04 / 5},
-    {"lower": 0.08 / 26, "digit": 0.08 / 10, "upper": 0.80 / 26, "other": 0.04 / 5},
-    {"lower": 0.10 / 26, "digit": 0.76 / 10, "upper": 0.10 / 26, "other": 0.04 / 5},
+    ((0.90, 0.03, 0.02, 0.05), (0.76, 0.15, 0.04, 0.05), (0.08, 0.05, 0.67, 0.20), (0.55, 0.20, 0.15, 0.10)),
+    ((0.70, 0.20, 0.05, 0.05), (0.02, 0.90, 0.03, 0.05), (0.03, 0.10, 0.67, 0.20), (0.15, 0.60, 0.15, 0.10)),
+    ((0.70, 0.05, 0.15, 0.10), (0.20, 0.50, 0.20, 0.10), (0.07, 0.05, 0.73, 0.15), (0.10, 0.10, 0.60, 0.20)),
 )
+#: Percentages of the letters a to z in ordinary words of several languages, each raised by half of one.
+_LETTERS = (8.5, 2.0, 3.7, 4.5, 14.0, 2.1, 2.3, 4.0, 8.0, 0.9, 1.4, 4.5, 3.1, 7.9, 6.7, 2.9, 1.0, 7.1, 6.8, 8.0, 4.0, 1.7, 1.7, 0.9, 1.7, 1.1)
 
 
 def _spans(text: Column, pattern: str, kind: str, order: int, keep=None, group: int = 0) -> Column:
@@ -89,20 +103,27 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _count(token: Column, pattern: str) -> Column:
-    return F.length(token) - F.length(F.regexp_replace(token, pattern, ""))
+def _numbers(values, kind: str) -> Column:
+    return F.array(*[F.lit(v).cast(kind) for v in values])
 
 
 def _evidence(token: Column) -> Column:
     """p-value of a token against ordinary ones; 1 if the battery rejects that it is noise."""
-    n = F.length(token).cast("double")
-    lower, upper, digit = _count(token, "[a-z]"), _count(token, "[A-Z]"), _count(token, "[0-9]")
+    bare = F.regexp_replace(token, "=", "")
+    alphabet = F.lit(_BASE64)
+    for pattern, letters in reversed(_ENCODINGS):
+        alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    # '_' and '-' as in URL-safe base64, '=' as nothing.
+    shown = F.when(bare.rlike("^[0-9a-fA-F]+$"), F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+
+    def steps_of(v: Column) -> Column:
+        return F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    def chars_of(t: Column) -> Column:
+        return F.filter(F.split(t, ""), lambda c: c != "")
 
-    def with_alphabet(alphabet: str, shown: Column) -> Column:
-        k = float(len(alphabet))
-        # Index of each character in the alphabet, from 0; '_' and '-' as in URL-safe base64, '=' as nothing.
-        chars = F.filter(F.split(shown, ""), lambda c: (c != "") & (c != "="))
-        indices = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
+    def noise(letters: Column) -> Column:
+        k = F.length(letters).cast("double")
 
         def tests(v: Column) -> Column:
             m = F.size(v).cast("double")
@@ -110,10 +131,10 @@ def _evidence(token: Column) -> Column:
             squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
             chi2, df = squares * k / m - m, k - 1
             spread = 2 / (9 * df)
-            uniform = (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - spread)) / spread**0.5
+            uniform = (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
             high = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x >= k / 2, 1.0).otherwise(0.0))
             low = m - high
-            steps = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            steps = steps_of(v)
             runs = F.aggregate(steps, F.lit(1.0), lambda a, s: a + F.when((s["x"] >= k / 2) != (s["y"] >= k / 2), 1.0).otherwise(0.0))
             expected = 2 * high * low / m + 1
             variance = (expected - 1) * (expected - 2) / (m - 1)
@@ -122,20 +143,35 @@ def _evidence(token: Column) -> Column:
             around = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
             along = F.aggregate(steps, F.lit(0.0), lambda a, s: a + (s["x"] - mean) * (s["y"] - mean))
             serial = F.when(around > 0, F.abs(along / around) * F.sqrt(m)).otherwise(F.lit(1e9))
-            return (m >= 16) & (uniform <= MAX_DEVIATE) & (runs_off <= MAX_DEVIATE) & (serial <= MAX_DEVIATE)
-
-        ratios = []
-        for model in _ORDINARY:
-            bits = {c: F.log2(F.lit(1 / k / p)) for c, p in model.items()}
-            ratios.append(lower * bits["lower"] + upper * bits["upper"] + digit * bits["digit"] + (n - lower - upper - digit) * bits["other"])
-        return F.when(_let(indices, tests), F.least(F.lit(1.0), F.pow(F.lit(2.0), -F.least(*ratios)))).otherwise(1.0)
-
-    return (
-        F.when((digit < MIN_DIGITS) | (lower + upper == 0), F.lit(1.0))
-        .when(token.rlike("^[0-9a-fA-F]+$"), with_alphabet(_ALPHABETS["hex"], F.lower(token)))
-        .when(token.rlike("^[A-Z2-7]+=*$"), with_alphabet(_ALPHABETS["base32"], token))
-        .otherwise(with_alphabet(_ALPHABETS["base64"], F.translate(token, "-_", "+/")))
-    )
+            return (uniform <= MAX_DEVIATE) & (runs_off <= MAX_DEVIATE) & (serial <= MAX_DEVIATE)
+
+        # Index of each character in the alphabet, from 0.
+        return _let(F.transform(chars_of(shown), lambda c: F.instr(letters, c).cast("double") - 1), tests)
+
+    # By a character's place among lower case, upper case and digits, 0 for none of these: its kind, and bits within the kind.
+    kinds = _numbers([3] + [0] * 26 + [1] * 26 + [2] * 10, "int")
+    letter_bits = [-math.log2(x / sum(_LETTERS)) for x in _LETTERS]
+    bits = _numbers([2.0, *letter_bits, *letter_bits, *[math.log2(10)] * 10], "double")
+
+    def ordinary_bits(places: Column) -> Column:
+        within = F.aggregate(places, F.lit(0.0), lambda a, x: a + F.element_at(bits, x))
+
+        def of_kinds(v: Column) -> Column:
+            def cost(model) -> Column:
+                after = _numbers([-math.log2(p) for row in model for p in row], "double")
+                return F.aggregate(steps_of(v), F.lit(0.0), lambda a, s: a + F.element_at(after, s["x"] * 4 + s["y"] + 1))
+
+            return F.least(*map(cost, _ORDINARY)) + F.element_at(_numbers([-math.log2(p) for p in _FIRST], "double"), F.element_at(v, 1) + 1)
+
+        return within + _let(F.transform(places, lambda x: F.element_at(kinds, x)), of_kinds)
+
+    places = F.transform(chars_of(bare), lambda c: F.instr(F.lit(_LOWER + _UPPER + _DIGITS), c) + 1)
+
+    def weighed(letters: Column) -> Column:
+        gain = _let(places, ordinary_bits) - F.length(bare) * F.log2(F.length(letters).cast("double"))
+        return F.when(noise(letters), F.least(F.lit(1.0), F.pow(F.lit(2.0), -gain))).otherwise(1.0)
+
+    return F.when((F.length(bare) < MIN_RANDOM) | ~token.rlike("[A-Za-z]"), F.lit(1.0)).otherwise(_let(alphabet, weighed))
 
 
 def _discoveries(candidates: Column) -> Column:
@@ -169,7 +205,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = docs.withColumn("_secret_base", base)
     free = F.filter(
-        _spans(shown, CANDIDATE, "random", 3, lambda s: s["value"].rlike("[0-9].*[0-9].*[0-9]") & s["value"].rlike("[A-Za-z]")),
+        _spans(shown, CANDIDATE, "random", 3, lambda s: s["value"].rlike("[A-Za-z]")),
         lambda s: ~F.exists("_secret_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])),
     )
     df = df.withColumn("_secret_free", free)
