@@ -72,7 +72,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.secrets import secret_report
 
-    return secret_report(table(spark, sf_dir, "documents"))
+    return secret_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
