@@ -3,10 +3,13 @@
 A text is a sequence of words and an end. Each word is a lattice over the pieces
 of an existing subword vocabulary: arcs are the pieces that match (found by one
 automaton), and the forward recursion in log space sums over all segmentations.
-The vocabulary's files carry merge ranks, not probabilities, so the unigram
-scores of its pieces are estimated here from the training documents: counts of
-the vocabulary's own segmentation, then expectation-maximisation over the
-lattices of all distinct training words.
+Arcs are weighted by the vocabulary's unigram scores. A file of merges has no
+probabilities but scores that rank its pieces; read as ranks by Zipf's law they are
+the scores to begin with, and expectation-maximisation over the lattices of all
+distinct training words carries them on. A piece has scores for four places in a word:
+pieces that begin one share one unit of probability and all others another, and
+in either a piece that ends the word is told from one that doesn't, so that words
+need no symbol for their end.
 
 The whole word is one more arc, scored by its training count under absolute
 discounting; the mass taken off is shared by the pieces and, in a small part, by
@@ -26,6 +29,7 @@ others join by word, where no word has more than that share of the rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,11 +49,11 @@ DISCOUNT = 0.7
 SHARED = 0.1
 #: Values of the class column with scores of their own, at most; all others make up one more class.
 MAX_CLASSES = 8
-EM_ROUNDS = 1
+EM_ROUNDS = 3
 SMOOTHING = 0.01
 FLUSH_WORDS = 400_000
 WORDS_PER_TASK = 40_000
-#: Characters laid out at once, and of a word that is walked on its own.
+#: Characters laid out at once, and of a word that is laid out or walked on its own.
 LAID_OUT = 200_000
 LONG_WORD = 2_000
 SPACE, GAP = "▁", "\n"
@@ -58,7 +62,7 @@ LN10 = math.log(10)
 
 @dataclass(frozen=True)
 class Layout:
-    """Arcs between the nodes of words that lie one after another; ``spelled`` are the byte pieces of symbols above ``stop``."""
+    """Arcs between the nodes of words that lie one after another; ``spelled`` are the byte pieces of the characters that ``piece`` numbers from the vocabulary's size on."""
 
     start: np.ndarray
     to: np.ndarray
@@ -72,8 +76,9 @@ class Layout:
         """(arcs, where each node's arcs begin, nodes) of nodes equally far from the start of their words, nearest or farthest first."""
         node = self.to if forward else self.start
         order = np.argsort(node, kind="stable")
-        # Distances are at most LONG_WORD + 1, and short integers are sorted fastest.
-        depth = (node - self.first[self.word]).astype(np.int16)[order]
+        depth = (node - self.first[self.word])[order]
+        if len(self.last) > 1:  # no word is long then, and short integers are sorted fastest
+            depth = depth.astype(np.int16)
         order = order[np.argsort(depth if forward else -depth, kind="stable")]
         node = node[order]
         runs = np.flatnonzero(np.diff(node, prepend=-1))
@@ -92,18 +97,18 @@ def _sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """An automaton of the vocabulary's pieces; the symbol ``stop`` ends a word.
+    """An automaton of the vocabulary's pieces.
 
     Words are handled many at a time: one step of a recursion takes the arcs of all
-    words that end equally far from their word's start. Scores have a row for each
-    symbol and a column for each class.
+    words that end equally far from their word's start. Scores have two rows for each
+    piece, first all that don't end a word, then all that do, and a column for each class.
     """
 
     def __init__(self, pieces: list[str | None], byte_ids: list[int]):
         import ahocorasick
 
         self.pieces, self.byte_ids = pieces, np.array(byte_ids)
-        self.stop = len(pieces)
+        self.n = len(pieces)
         self.single = frozenset(p for p in pieces if p is not None and len(p) == 1)
         self.sizes = np.array([len(p or "") for p in pieces], dtype=np.int64)
         self.automaton = ahocorasick.Automaton()
@@ -126,18 +131,27 @@ class Lattice:
             marks = np.array([ord(c) for c in odd], dtype="<u4")
             at = np.flatnonzero(np.isin(codes, marks))
             start, to = np.concatenate((start, at)), np.concatenate((to, at + 1))
-            piece = np.concatenate((piece, self.stop + 1 + np.searchsorted(marks, codes[at])))
+            piece = np.concatenate((piece, self.n + np.searchsorted(marks, codes[at])))
         word = np.repeat(np.arange(len(words)), lengths + 1)[start]
         return Layout(start, to, piece, word, first, first + lengths, [self.bytes_of(c) for c in odd])
 
     def bytes_of(self, character: str) -> np.ndarray:
         return self.byte_ids[list(character.encode("utf-8", "surrogatepass"))]
 
-    def _alpha(self, at: Layout, steps: Iterable, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spelling(self, ids: np.ndarray, ends: bool) -> np.ndarray:
+        """Rows of scores for a character's bytes, of which the last may end the word."""
+        return np.append(ids[:-1], ids[-1] + self.n * ends)
+
+    def _rows(self, at: Layout) -> np.ndarray:
+        """For each arc the row of its score; spelled characters have two rows each after those of pieces."""
+        ends = at.to == at.last[at.word]
+        return np.where(at.piece < self.n, at.piece + self.n * ends, 2 * at.piece + ends)
+
+    def _alpha(self, at: Layout, rows: np.ndarray, steps: Iterable, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log sums over all ways from a word's start to each node, and the scores of arcs, under one column of scores."""
         if at.spelled:
-            scores = np.concatenate((scores, [scores[ids].sum() for ids in at.spelled]))
-        arc = scores[at.piece]
+            scores = np.concatenate((scores, [scores[self.spelling(ids, e)].sum() for ids in at.spelled for e in (False, True)]))
+        arc = scores[rows]
         alpha = np.full(at.last[-1] + 1, -np.inf)
         alpha[at.first] = 0.0
         for arcs, begins, nodes in steps:
@@ -153,10 +167,10 @@ class Lattice:
                 out[own[0]] = self._walk(words[own[0]], scores)
             else:
                 at = self.lay_out([words[i] for i in own])
-                steps = list(at.steps(forward=True))
+                rows, steps = self._rows(at), list(at.steps(forward=True))
                 for z in range(scores.shape[1]):
-                    out[own, z] = self._alpha(at, steps, scores[:, z])[0][at.last]
-        return out + scores[self.stop]
+                    out[own, z] = self._alpha(at, rows, steps, scores[:, z])[0][at.last]
+        return out
 
     def _walk(self, word: str, scores: np.ndarray) -> np.ndarray:
         """The same for one word of any length; only as many sums are held as the longest piece has characters."""
@@ -168,32 +182,33 @@ class Lattice:
         end, found = next(ends, (-1, ()))
         for k, c in enumerate(s):
             ways = []
+            last = k == len(s) - 1
             if end == k:
-                ways = [alpha[(k + 1 - self.sizes[i]) % held] + scores[i] for _, i in found]
+                ways = [alpha[(k + 1 - self.sizes[i]) % held] + scores[i + self.n * last] for _, i in found]
                 end, found = next(ends, (-1, ()))
             if c not in self.single:
-                ways.append(alpha[k % held] + scores[self.bytes_of(c)].sum(axis=0))
+                ways.append(alpha[k % held] + scores[self.spelling(self.bytes_of(c), last)].sum(axis=0))
             alpha[(k + 1) % held] = np.logaddexp.reduce(ways, axis=0)
         return alpha[len(s) % held]
 
     def expect(self, words: list[str], scores: np.ndarray) -> np.ndarray:
-        """Expected uses of each symbol over ``words`` under one column of scores; long words count in parts."""
-        parts = [w[i : i + LONG_WORD] for w in words for i in range(0, len(w), LONG_WORD)]
-        parts.sort(key=len)
-        counts = np.zeros(self.stop + 1)
-        for own in _stretches(parts, list(map(len, parts))):
+        """Expected uses of each row of ``scores``, one column, over ``words``."""
+        counts = np.zeros(2 * self.n)
+        words = sorted(words, key=len)
+        for own in _stretches(words, list(map(len, words))):
             at = self.lay_out(own)
-            alpha, arc = self._alpha(at, at.steps(forward=True), scores)
+            rows = self._rows(at)
+            alpha, arc = self._alpha(at, rows, at.steps(forward=True), scores)
             beta = np.full(len(alpha), -np.inf)
             beta[at.last] = 0.0
             for arcs, begins, nodes in at.steps(forward=False):
                 beta[nodes] = _sums(beta[at.to[arcs]] + arc[arcs], begins)
             share = np.exp(alpha[at.start] + arc + beta[at.to] - alpha[at.last][at.word])
-            uses = np.bincount(at.piece, share, self.stop + 1 + len(at.spelled))
-            counts += uses[: self.stop + 1]
-            for ids, n in zip(at.spelled, uses[self.stop + 1 :], strict=True):
-                np.add.at(counts, ids, n)
-        counts[self.stop] = len(words)
+            uses = np.bincount(rows, share, 2 * (self.n + len(at.spelled)))
+            counts += uses[: 2 * self.n]
+            for k, ids in enumerate(at.spelled):
+                for ends in (False, True):
+                    np.add.at(counts, self.spelling(ids, ends), uses[2 * (self.n + k) + ends])
         return counts
 
 
@@ -236,15 +251,37 @@ def lattice_of(path: str) -> Lattice:
 
 
 def scores_of(path: str, counts: np.ndarray) -> np.ndarray:
-    """Smoothed log probabilities, by class, of all pieces that can match, of bytes and of STOP; ``counts`` has a column for each class."""
+    """Smoothed log probabilities, by class, of the places of all pieces that can match and of bytes; ``counts`` has a column for each class.
+
+    Pieces that begin a word share one unit, all others another.
+    """
     _, pieces, byte_ids = _inventory(path)
-    own = sorted({i for i, p in enumerate(pieces) if p is not None} | set(byte_ids) | {len(pieces)})
+    n = len(pieces)
+    begin = np.array([i for i, p in enumerate(pieces) if p is not None and p[0] == SPACE], dtype=np.int64)
+    other = np.array(sorted({i for i, p in enumerate(pieces) if p is not None and p[0] != SPACE} | set(byte_ids)), dtype=np.int64)
     out = np.full(counts.shape, -np.inf)
-    smooth = counts[own] + SMOOTHING
-    out[own] = np.log(smooth / smooth.sum(axis=0))
+    for own in (begin, other):
+        rows = np.concatenate((own, own + n))
+        smooth = counts[rows] + SMOOTHING
+        out[rows] = np.log(smooth / smooth.sum(axis=0))
     return out
 
 
+def vocabulary_scores(path: str) -> np.ndarray:
+    """The scores that the vocabulary's file has, as one column of log probabilities, places of a piece being alike.
+
+    A unigram file's are logs of probabilities. A file of merges numbers its pieces downwards; by Zipf's law the
+    k-th is used in proportion to 1 / k. Bytes stand last.
+    """
+    model, pieces, byte_ids = _inventory(path)
+    given = np.array([model.get_score(i) for i in range(len(pieces))])
+    given[byte_ids] = given.min()
+    whole = (given == np.round(given)).all()
+    weight = 1 / (1 + given.max() - given) if whole else np.exp(given - given.max())
+    # As if the file had been counted on a large text, so that smoothing is without weight.
+    return scores_of(path, np.tile(weight / weight.sum() * 1e9, 2)[:, None])
+
+
 def count_words(docs: DataFrame, classes: list | None = None, class_column: str | None = None) -> DataFrame:
     """(word, c, t, c0, c1, ...): uses in training rows, in all rows, and in training rows of each class; the empty word stands for a text's end.
 
@@ -255,8 +292,8 @@ def count_words(docs: DataFrame, classes: list | None = None, class_column: str
     fields = spark_schema(docs.sparkSession, schema)
 
     def run(batches):
-        by_class: list[dict[bytes, int]] = [{} for _ in range(n)]
-        held: dict[bytes, int] = {}
+        by_class: list[Counter[bytes]] = [Counter() for _ in range(n)]
+        held: Counter[bytes] = Counter()
 
         def flush():
             words = list(dict.fromkeys(chain(*by_class, held)))
@@ -274,10 +311,8 @@ def count_words(docs: DataFrame, classes: list | None = None, class_column: str
             texts, out, z = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i in range(batch.num_rows):
                 into = held if out[i] else by_class[z[i]]
-                get = into.get
-                for w in lower_words_of(texts[i].as_py()):
-                    into[w] = get(w, 0) + 1
-                into[b""] = get(b"", 0) + 1
+                into.update(lower_words_of(texts[i].as_py()))
+                into[b""] += 1
                 if sum(map(len, by_class)) + len(held) > FLUSH_WORDS:
                     yield from flush()
         yield from flush()
@@ -290,37 +325,31 @@ def count_words(docs: DataFrame, classes: list | None = None, class_column: str
     return rows.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def _piece_counts(words: DataFrame, path: str, classes: list[int], scores: np.ndarray | None) -> np.ndarray:
-    """Uses of symbols over each class's distinct training words: of the vocabulary's own segmentation, or expected under ``scores``."""
+def _piece_counts(words: DataFrame, path: str, classes: list[int], scores: np.ndarray) -> np.ndarray:
+    """Expected uses under ``scores``, by place and class, over each class's distinct training words."""
     schema = "z int, id int, n double"
 
     def run(batches):
-        model, pieces, _ = _inventory(path)
         lattice = lattice_of(path)
-        counts = np.zeros((len(pieces) + 1, len(classes)))
+        counts = np.zeros((2 * lattice.n, len(classes)))
         for batch in batches:
             for z in range(len(classes)):
                 own = batch.column(0).filter(pa.compute.greater(batch.column(z + 1), 0)).to_pylist()
-                if not own:
-                    continue
-                if scores is None:
-                    counts[:, z] += np.bincount(list(chain.from_iterable(model.encode(own, num_threads=1))), minlength=len(counts))
-                    counts[-1, z] += len(own)
-                else:
+                if own:
                     counts[:, z] += lattice.expect(own, scores[:, z])
         at, z = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at, z])], names=["z", "id", "n"])
 
     summed = words.select("word", *[f"c{z}" for z in classes]).mapInArrow(run, schema).groupBy("z", "id").agg(F.sum("n").alias("n"))
-    out = np.zeros((len(_inventory(path)[1]) + 1, len(classes)))
-    for r in summed.collect():  # as many rows as the vocabulary has pieces, for each class
+    out = np.zeros((2 * len(_inventory(path)[1]), len(classes)))
+    for r in summed.collect():  # twice as many rows as the vocabulary has pieces, for each class
         out[r["id"], r["z"]] = r["n"]
     return out
 
 
 def train_scores(words: DataFrame, path: str, classes: list[int], rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Log scores of symbols, a column for each of ``classes``, from the distinct training words (columns word, c0, c1, ...)."""
-    scores = scores_of(path, _piece_counts(words, path, classes, None))
+    """Log scores of places of pieces, a column for each of ``classes``, from the distinct training words (columns word, c0, c1, ...)."""
+    scores = np.repeat(vocabulary_scores(path), len(classes), axis=1)
     for _ in range(rounds):
         scores = scores_of(path, _piece_counts(words, path, classes, scores))
     return scores
@@ -422,17 +451,17 @@ def score_documents(
 
     def begin():
         known, hot_values = table.value
+        known_get = known.get
         first = np.array([end_c > 0, base_of(end_c), *end_model], dtype=float)
 
         def row(doc_id, text, held_out, key):
             words = lower_words_of(text)
-            at = [known.get(w, -1) for w in words]
-            rare: dict[bytes, int] = {}
-            for w, k in zip(words, at, strict=True):
-                if k < 0:
-                    rare[w] = rare.get(w, 0) + 1
-            found = np.array(at, dtype=np.int64)
-            seen, base, *model = (first + hot_values[found[found >= 0]].sum(axis=0)).tolist()
+            uses = Counter(map(known_get, words))
+            rare: Counter[bytes] = Counter()
+            if uses.pop(None, 0):
+                rare.update([w for w in words if w not in known])
+            found = np.fromiter(uses.keys(), np.int64, len(uses))
+            seen, base, *model = (first + np.fromiter(uses.values(), np.int64, len(uses)) @ hot_values[found]).tolist()
             yield (doc_id, held_out, key, len(words) + 1, int(seen), base, *model, [w.decode("utf-8", "replace") for w in rare], list(rare.values()))
 
         return row

@@ -23,7 +23,7 @@ def lattice():
 
 @pytest.fixture(scope="module")
 def scores(lattice):
-    n = np.arange(lattice.stop + 1)
+    n = np.arange(2 * lattice.n)
     return lm.scores_of(PATH, np.stack([1.0 + n % 7, 1.0 + n % 3], axis=1))
 
 
@@ -35,7 +35,7 @@ def arcs(lattice, word):
 
 
 def all_segmentations(lattice, word):
-    """The pieces of every way to cut the word, by enumeration."""
+    """The rows of scores of every way to cut the word, by enumeration."""
     found, n = arcs(lattice, word), len(word) + 1
 
     def walk(at):
@@ -46,7 +46,7 @@ def all_segmentations(lattice, word):
                 for rest in walk(end):
                     yield ids + rest
 
-    return [[*ids, lattice.stop] for ids in walk(0)]
+    return [[*ids[:-1], ids[-1] + lattice.n] for ids in walk(0)]
 
 
 WORDS = ["the", "thereon", "été", "日本", "x\U0001f642y", "a", "qzx", "nationality", "▁", "the"]
@@ -61,7 +61,7 @@ def test_forward_sums_all_segmentations(lattice, scores):
 
 
 def test_expected_uses(lattice, scores):
-    wanted = np.zeros(lattice.stop + 1)
+    wanted = np.zeros(2 * lattice.n)
     for word in WORDS:
         ways = all_segmentations(lattice, word)
         weight = np.exp([scores[ids, 0].sum() for ids in ways])
@@ -77,7 +77,11 @@ def test_long_words(lattice, scores, monkeypatch):
     assert lattice.forward(["the", *long, "on"], scores)[1:4] == pytest.approx(alone)
     monkeypatch.setattr(lm, "LONG_WORD", 30_000)
     assert lattice.forward(long, scores) == pytest.approx(alone)
-    assert lattice.expect(long, scores[:, 0])[lattice.stop] == 3
+    uses = lattice.expect(long, scores[:, 0])
+    assert uses[lattice.n :].sum() == pytest.approx(3)
+    sizes = np.where(lattice.sizes > 0, lattice.sizes, 0)
+    bytes_only = uses.reshape(2, -1)[:, lattice.byte_ids].sum()
+    assert (uses.reshape(2, -1).sum(axis=0) * sizes).sum() + bytes_only == pytest.approx(sum(len(w) + 1 + 2 * sum(c not in lattice.single for c in w) for w in long), rel=1e-6)
 
 
 def test_stretches_do_not_matter(lattice, scores, monkeypatch):
@@ -88,13 +92,25 @@ def test_stretches_do_not_matter(lattice, scores, monkeypatch):
     assert lattice.expect(words, scores[:, 1]) == pytest.approx(whole[1])
 
 
-def test_scores_are_a_distribution(scores):
-    assert np.exp(scores).sum(axis=0) == pytest.approx([1.0, 1.0])
+def test_scores_are_a_distribution(lattice, scores):
+    """One unit for pieces that begin a word, one for all others."""
+    begins = np.array([p is not None and p[0] == lm.SPACE for p in lattice.pieces] * 2)
+    assert np.exp(scores[begins]).sum(axis=0) == pytest.approx([1.0, 1.0])
+    assert np.exp(scores[~begins]).sum(axis=0) == pytest.approx([1.0, 1.0])
+
+
+def test_vocabulary_scores_fall_with_rank(lattice):
+    given = lm.vocabulary_scores(PATH)[:, 0]
+    rank = {p: i for i, p in enumerate(lattice.pieces) if p}
+    for a, b in (("▁the", "▁nationality"), ("er", "ation")):
+        if a in rank and b in rank:
+            assert given[rank[a]] > given[rank[b]]
+    assert given[: lattice.n] == pytest.approx(given[lattice.n :])
 
 
 def test_expectation_raises_likelihood(lattice):
     words = ["thereon", "hereon", "thereat", "hereat", "ander", "under"]
-    flat = lm.scores_of(PATH, np.zeros((lattice.stop + 1, 1)))
+    flat = lm.scores_of(PATH, np.zeros((2 * lattice.n, 1)))
     better = lm.scores_of(PATH, lattice.expect(words, flat[:, 0])[:, None])
     assert lattice.forward(words, better).sum() > lattice.forward(words, flat).sum()
 
@@ -181,3 +197,10 @@ def test_without_training_rows_and_empty(spark, docs, none):
         out = lm.score_documents(only, PATH, class_column=column).collect()
         assert len(out) == only.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.score < 0 for r in out)
         assert lm.score_documents(none, PATH, class_column=column).collect() == []
+
+
+def test_the_model_beats_the_base_on_held_out_documents(spark):
+    from ledgerfold.llm.queries import op5_lm_scoring
+
+    rows = op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
