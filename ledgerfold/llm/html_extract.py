@@ -1,11 +1,14 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks on
-their own: link density, stop-word density and length, with the page's own
-elements (``nav``, ``aside``, ``form``, class and id names, ``article``) as
-evidence. Elements that hold an article speak for their own blocks only; all
-others are judged by links, stop words and length. Blocks too short to tell stay open; in the second pass they take the
-label of the nearest decided neighbours. Good blocks make the text.
+A page is cut into blocks at block-level tags. What can't be the article whatever it
+says (``nav``, ``footer``, ``form``, scripts, elements whose class or id is made of
+words such as "cookie notice" or "comments" alone) is left out beforehand. The first
+pass classifies each block that remains by link density, stop-word density and
+length. The page's own elements only weigh in: the bounds are lower within ``article``,
+``main`` and the like, where a block without stop words stays open instead of bad,
+and higher where a class has one such word among others. Blocks too short to tell
+stay open; in the second pass they take the label of the nearest decided neighbours.
+Good blocks make the text.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from ledgerfold.llm._common import map_rows
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?)(?:>|\Z)",
     re.DOTALL,
 )
 _NAMES = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -42,6 +45,7 @@ _SHORT_LIVED = frozenset("head p li dt dd option h1 h2 h3 h4 h5 h6 label button
 _ENCLOSING = _BLOCK - frozenset("html body p".split())
 _HOLDERS = frozenset("article main div section td".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
+#: Words of class and id names that tell what is no article.
 _BAD_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox promo promoted promotion sponsor sponsored banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login nav navbar navigation "
@@ -49,6 +53,19 @@ _BAD_NAME = frozenset(
     "recommended recommendations social share sharing sharebar comment comments commentlist disqus respond reply replies reactions "
     "discussion feedback search copyright legal disclaimer skip hidden tags trending outbrain taboola paywall".split()
 )
+#: Those that mean one thing in any company.
+_SURE_NAME = frozenset(
+    "nav navbar navigation navi topnav submenu breadcrumb breadcrumbs crumbs pagination pager masthead topbar toolbar sidebar comments commentlist disqus "
+    "outbrain taboola adsense adbox newsletter gdpr popup modal signup signin login".split()
+)
+#: Those that an article can be about: alone in an article they only weigh.
+_TOPIC_NAME = frozenset("share sharing social tags legal search copyright discussion feedback trending disclaimer promotion".split())
+#: Words beside bad ones that leave the meaning of a name as it is.
+_FILLER_NAME = frozenset(
+    "area bar blog block body bottom box btn button buttons c col column container cta div el fixed form global group header heading hd icon icons id in info inline inner item items "
+    "js l large law layout left link links list m md medium mid middle mobile module msg message n news number page panel placeholder policy posts primary r reader readers region right row secondary sec section "
+    "site size slot sm small sticky strip t the thread title top ul unit user users view wp wrap wrapper x xs zone google".split()
+)
 _LAYOUT_NAME = frozenset("sidebar header menu nav banner notice widget footer search aside share social tags hidden related ad ads".split())
 _GOOD_NAME = frozenset("content article articlebody post entry main story maincontent bodytext text prose".split())
 
@@ -71,29 +88,37 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 LOW_CHARS, HIGH_CHARS = 70, 200
 LOW_STOPS, HIGH_STOPS = 0.12, 0.25
 MAX_LINKS = 0.4
-GOOD, BAD, OPEN = 1, 0, -1
+#: In an element that holds an article.
+INSIDE_STOPS, INSIDE_LINKS = 0.06, 0.8
+GOOD, BAD, OPEN, DOUBTFUL = 1, 0, -1, -2
 
 
 class Block:
-    """``inside`` numbers the outermost good element around the block; 0 for none."""
+    """``inside`` numbers the outermost good element around the block, 0 for none; ``doubt`` tells of a doubtful one."""
 
-    __slots__ = ("inside", "kind", "label", "linked", "text")
+    __slots__ = ("doubt", "inside", "kind", "label", "linked", "text")
 
-    def __init__(self, text: str, linked: int, inside: int, kind: str):
-        self.text, self.linked, self.inside, self.kind, self.label = text, linked, inside, kind, OPEN
+    def __init__(self, text: str, linked: int, inside: int, kind: str, doubt: bool = False):
+        self.text, self.linked, self.inside, self.kind, self.doubt, self.label = text, linked, inside, kind, doubt, OPEN
 
 
 def _evidence(tag: str, attributes: str, in_article: bool, forms: bool = False) -> int:
-    """BAD for an element to leave out, GOOD for one that holds the article, else OPEN."""
+    """BAD for an element to leave out, GOOD for one that holds the article, DOUBTFUL for one whose name speaks against it, else OPEN."""
     if tag in _DROPPED and not (forms and tag == "form"):
         return BAD
     if tag == "header":
         return OPEN if in_article else BAD
     names: set[str] = set()
+    plain = False  # some token of a class or id says nothing else
     for m in _NAMES.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            names.update(_WORDS.findall(value))
+            for token in value.split():
+                own = set(_WORDS.findall(token))
+                names |= own
+                wrong = own & _BAD_NAME
+                alone = bool(wrong) and own - wrong <= _FILLER_NAME | _GOOD_NAME and not (in_article and wrong <= _TOPIC_NAME)
+                plain = plain or alone or not own.isdisjoint(_SURE_NAME)
         elif name == "role":
             if value in _BAD_ROLE:
                 return BAD
@@ -106,7 +131,7 @@ def _evidence(tag: str, attributes: str, in_article: bool, forms: bool = False)
     good = names & _GOOD_NAME
     bad = names & _BAD_NAME
     if bad and not (good and bad <= _LAYOUT_NAME) and not (tag in ("article", "main") and bad <= _LAYOUT_NAME):
-        return BAD
+        return BAD if plain else DOUBTFUL
     if names & {"header", "heading"} and not good and not in_article and tag not in _HEADING:
         return BAD
     return GOOD if tag in ("article", "main") or (good and tag in ("div", "section", "td")) else OPEN
@@ -187,6 +212,7 @@ def _cut(page: _Page, forms: bool = False, articles_end: bool = False) -> tuple[
     short_lived = False
     skip_to, own_end = -1, False  # the tag that ends a skip, and whether it belongs to what is skipped
     around: list[int] = []  # ends of the open elements, as a heap
+    doubtful = -1  # where the last of the open doubtful elements ends
     inside: list[int] = []  # ends of the open elements that hold an article, none beyond those before it
     articles = held = 0  # outermost ones so far, and the length of their text
     kind = ""
@@ -197,7 +223,7 @@ def _cut(page: _Page, forms: bool = False, articles_end: bool = False) -> tuple[
             text = " ".join(html.unescape("".join(texts)).split())
             texts.clear()
             if text:
-                blocks.append(Block(text, linked, articles if inside else 0, kind))
+                blocks.append(Block(text, linked, articles if inside else 0, kind, at_tag <= doubtful))
                 held += len(text) if inside else 0
         linked = breaks = 0
 
@@ -209,8 +235,9 @@ def _cut(page: _Page, forms: bool = False, articles_end: bool = False) -> tuple[
         if breaks and piece.strip():
             breaks = 0
 
-    at = 0
+    at = at_tag = 0
     for i, (start, end, closing, tag, attributes) in enumerate(page.tokens):
+        at_tag = i
         while inside and inside[-1] < i:
             inside.pop()
         if start > at and i > skip_to:
@@ -260,6 +287,8 @@ def _cut(page: _Page, forms: bool = False, articles_end: bool = False) -> tuple[
                 skip_to, own_end = page.skip(i, around[0] if around else None, held >= HIGH_CHARS)
             if tag == "form":
                 missed.add("form")
+        elif sign == DOUBTFUL:
+            doubtful = max(doubtful, page.ends.get(i, -1))
         elif sign == GOOD:
             articles += not inside
             last = page.ends.get(i, len(page.tokens))
@@ -295,27 +324,31 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def stop_density(text: str) -> float:
+    words = _LETTERS.findall(text)
+    return sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def classify(blocks: list[Block]) -> None:
-    """The first pass."""
+    """The first pass: good or bad where link density, stop words and length tell, open elsewhere."""
     for b in blocks:
-        density = min(1.0, b.linked / len(b.text))
-        if density > (0.8 if b.inside else MAX_LINKS):
-            b.label = OPEN if b.inside else BAD
+        links, size = min(1.0, b.linked / len(b.text)), len(b.text)
+        if b.doubt:
+            # Only what reads as an article is one, in spite of its name.
+            least = LOW_STOPS if b.inside else HIGH_STOPS
+            b.label = GOOD if links <= MAX_LINKS and size >= (LOW_CHARS if b.inside else HIGH_CHARS) and stop_density(b.text) >= least else BAD
         elif b.inside:
-            b.label = GOOD
-        elif _NOTICE.search(b.text) and len(b.text) < HIGH_CHARS:
+            b.label = GOOD if links <= INSIDE_LINKS and size >= LOW_CHARS and stop_density(b.text) >= INSIDE_STOPS else OPEN
+        elif links > MAX_LINKS or (size < HIGH_CHARS and _NOTICE.search(b.text)):
             b.label = BAD
-        elif len(b.text) < LOW_CHARS:
-            b.label = BAD if density > 0 else OPEN
+        elif size < LOW_CHARS:
+            b.label = BAD if links > 0 else OPEN
         else:
-            words = [w.lower() for w in _LETTERS.findall(b.text)]
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if stops >= HIGH_STOPS or (stops >= LOW_STOPS and len(b.text) >= HIGH_CHARS):
+            stops = stop_density(b.text)
+            if stops >= HIGH_STOPS or (stops >= LOW_STOPS and size >= HIGH_CHARS):
                 b.label = GOOD
-            elif stops >= LOW_STOPS:
-                b.label = OPEN
             else:
-                b.label = BAD
+                b.label = OPEN if stops >= LOW_STOPS else BAD
 
 
 def inherit(blocks: list[Block]) -> None:
@@ -349,7 +382,8 @@ def inherit(blocks: list[Block]) -> None:
             decided.append(after[i][1])
         else:
             near = before[i] if i - before[i][0] <= after[i][0] - i else after[i]
-            decided.append(near[1] if i - before[i][0] != after[i][0] - i or len(b.text) < LOW_CHARS // 2 else GOOD)
+            tie = i - before[i][0] == after[i][0] - i
+            decided.append(GOOD if tie and (b.inside or len(b.text) >= LOW_CHARS // 2) else near[1])
     for b, label in zip(blocks, decided, strict=True):
         b.label = label
 
@@ -366,8 +400,11 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``.
 
-    A null or empty page has an empty text, as does one without any article. Rows
-    are independent, repeated ones included, and further columns are ignored.
+    A null or empty page has an empty text, as does one without any article. Pages of any
+    length are read whole, in time that grows with their length. An open block as
+    near to a good neighbour as to a bad one is good in an element that holds an article and from half of
+    LOW_CHARS on, else it has the label of the one before it. Rows are independent, repeated ones included, and further
+    columns are ignored.
     """
 
     def start():
