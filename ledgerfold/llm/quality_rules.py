@@ -8,29 +8,42 @@ repeated windows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
 from ledgerfold.llm._common import SPACES, map_rows, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-
-_BOILERPLATE = re.compile(
-    r"all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|notice)|accept (?:all )?cookies"
-    r"|we use cookies|enable javascript|javascript is (?:disabled|required)|subscribe to our newsletter|sign up for our newsletter"
-    r"|click here to|share (?:this )?on (?:facebook|twitter)|lorem ipsum|powered by wordpress|page not found|^\s*(?:©|\(c\)|copyright)\b",
-    re.IGNORECASE,
+_SYMBOL_BYTES = [s.encode() for s in SYMBOLS]
+
+#: Phrases of boilerplate in English, French, German and Spanish; case doesn't matter.
+BOILERPLATE = (
+    "all rights reserved|privacy policy|terms of (?:use|service)|cookie (?:policy|settings|notice)|accept (?:all )?cookies|we use cookies"
+    "|enable javascript|javascript is (?:disabled|required)|(?:subscribe to|sign up for) our newsletter|click here to|share (?:this )?on (?:facebook|twitter)"
+    "|lorem ipsum|powered by wordpress|page not found|^[ \t]*(?:©|[(]c[)]|copyright ).*"
+    "|tous droits réservés|politique de confidentialité|conditions d'utilisation|accepter (?:tous )?les cookies|mentions légales|inscrivez-vous à notre newsletter|cliquez ici pour|activer javascript"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|(?:alle )?cookies akzeptieren|newsletter abonnieren|hier klicken|klicken sie hier|javascript aktivieren"
+    "|todos los derechos reservados|política de privacidad|condiciones de uso|aceptar (?:todas )?las cookies|aviso legal|suscríbete a nuestro boletín|haga clic aquí|activar javascript"
 )
-_NAVIGATION = frozenset(
-    b"home about contact login logout register menu search sitemap help faq next previous prev back top share print "
-    b"archive categories tags rss english".split()
+#: Words of menus in the same languages.
+NAVIGATION = (
+    "home about contact login logout register menu search sitemap help faq next previous prev back top share print archive categories tags rss english "
+    "accueil contacts connexion déconnexion inscription recherche aide suivant précédent retour imprimer archives catégories français plan "
+    "startseite kontakt impressum anmelden abmelden registrieren suche hilfe weiter zurück drucken archiv kategorien datenschutz deutsch übersicht "
+    "inicio contacto acceder salir registrarse buscar ayuda siguiente anterior volver imprimir archivo categorías etiquetas español mapa"
 )
-_MARKS = re.compile(r"[|»›·•>]")
+#: Separators between the entries of a menu.
+MARKS = "|»›·•>"
+
+_BOILERPLATE = regex.compile(f"(?i)(?:{BOILERPLATE})")
+_NAVIGATION = frozenset(NAVIGATION.encode().split())
+_MARKS = regex.compile(f"[{MARKS}]")
+_LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 
 
 @dataclass(frozen=True)
@@ -43,6 +56,7 @@ class LineRules:
     max_navigation_share: float = 0.5  # of a short line
     short_line: int = 8
     max_repeat_share: float = 0.5  # words equal to the word before
+    max_boilerplate_share: float = 0.05  # words of boilerplate phrases
     max_lost: float = 0.5  # of a document's words
     min_words: int = 20
     max_repeated_percent: int = 30
@@ -88,23 +102,21 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 def line_fails(line: str, words: list[bytes], rules: LineRules) -> str | None:
     """The rule that a line with words fails, if any."""
     n = len(words)
-    symbols = sum(map(line.count, SYMBOLS))
-    if symbols:
-        marks = len(_MARKS.findall(line))
-        if n >= 3 and marks > rules.max_mark_share * n:
-            return "navigation"
-        if sum(any(s in w for s in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")) for w in words) > rules.max_symbol_share * n:
-            return "punctuation"
+    if n >= 3 and len(_MARKS.findall(line)) > rules.max_mark_share * n:
+        return "navigation"
+    if any(map(line.count, SYMBOLS)) and sum(any(s in w for s in _SYMBOL_BYTES) for w in words) > rules.max_symbol_share * n:
+        return "punctuation"
     if n >= 4:
         if (line.count("!") + line.count("?")) and sum(w[-1:] in (b"!", b"?") for w in words) > rules.max_shout_share * n:
             return "punctuation"
-        if sum(w == v for w, v in zip(words, words[1:], strict=False)) > rules.max_repeat_share * n:
+        if sum(map(bytes.__eq__, words, words[1:])) > rules.max_repeat_share * n:
             return "boilerplate"
-        if line.isupper() and n >= 8:
+        if n >= 8 and not _LOWER.search(line) and _UPPER.search(line):
             return "punctuation"
     if n <= rules.short_line and sum(w.lower().strip(b".,:;|>") in _NAVIGATION for w in words) > rules.max_navigation_share * n:
         return "navigation"
-    if _BOILERPLATE.search(line) and n <= 40:
+    found = _BOILERPLATE.findall(line)
+    if found and sum(len(words_of(x)) for x in found) >= rules.max_boilerplate_share * n:
         return "boilerplate"
     return None
 
@@ -143,8 +155,10 @@ def judge(text: str | None, rules: LineRules = LineRules()):
 def quality_report(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Counts and verdict for every row of ``docs`` (doc_id, text).
 
-    A null or empty text has no words and fails. ``n_lost_words`` is what the
-    line rules removed. Rows are independent, and further columns are ignored.
+    A null or empty text has no words and fails. Texts and lines of any length are
+    judged whole. ``n_lost_words`` is what the line rules removed; of a text that
+    loses just the share that it may, nothing is held against it. Rows are independent,
+    repeated ones included, and further columns are ignored.
     """
 
     def start():

@@ -42,6 +42,10 @@ CLEAN = "\n".join(sentence(random.Random(i), 30) for i in range(5))
     [
         ("Home | News | Sport | Weather | Contact", "navigation"), ("home about contact login", "navigation"), ("THIS IS!! ALL!! SHOUTED!! HERE!!", "punctuation"),
         ("this### is*** all%%% junk&&& here$$$", "punctuation"), ("again again again again again again", "boilerplate"),
+        ("News » Sport » Cricket » Scores", "navigation"), ("Startseite Kontakt Impressum Anmelden", "navigation"), ("Accueil Aide Contact", "navigation"), ("inicio contacto acceder", "navigation"),
+        ("alle Rechte vorbehalten", "boilerplate"), ("Tous droits réservés.", "boilerplate"), ("Todos los derechos reservados", "boilerplate"),
+        ("DER GANZE TEXT STEHT IN GROSSEN BUCHSTABEN HIER", "punctuation"), (" ".join(f"w{i}" for i in range(60)) + " privacy policy", None),
+        (" ".join(f"w{i}" for i in range(60)) + " privacy policy all rights reserved", "boilerplate"),
         ("Copyright 2020 All rights reserved", "boilerplate"), ("We use cookies to improve this site.", "boilerplate"),
         ("The quick brown fox & its friends ran home, and it was 100% fine.", None), ("Short title", None), ("What is it? It is a question of some length.", None),
     ],
