@@ -4,14 +4,16 @@ Documents become token ids (an existing tokenizer's, then one end id), only
 those longer than ``capacity`` are cut, and the pieces are packed into as few
 sequences of ``capacity`` tokens as can be.
 
-Pieces are dealt by hash into partitions of about ``items_per_partition``, so no
-key decides where rows go. Each partition runs best-fit decreasing and computes
+Pieces are dealt by the hash of their place in the written table into partitions of
+about ``items_per_partition``, so no key decides where rows go. Each partition runs best-fit decreasing and computes
 dual-feasible-function lower bounds of its own bin count. A partition whose count
 exceeds the real-valued bound has a gap: the pieces in its bins with room left
 are released, dealt anew together with those of other such partitions (whole old
 bins at a time) and packed again; a new packing is taken only if it saves bins.
 Rounds end when the count meets the bound of the whole input's histogram of
-lengths, when what is left fits one partition, or when a round saves nothing.
+lengths, when what is left fits one partition, or when a round saves nothing to speak
+of. The result carries the certificate: how many sequences there are, and the bound
+that no packing can go below.
 
 Only numbers move: texts are tokenized once and never shuffled.
 """
@@ -22,6 +24,7 @@ import math
 import re
 import unicodedata
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -274,12 +277,13 @@ def pack(
     scratch: Scratch,
     capacity: int = CAPACITY,
     items_per_partition: int = 20_000,
-    max_rounds: int = 8,
+    least_saving: float = 1e-4,
 ) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces`` (columns of PIECES, lengths 1 to capacity).
+    """Adds sequence_id, offset, sequences and least_sequences to ``pieces`` (columns of PIECES, lengths 1 to capacity).
 
     Rows may repeat; each is packed on its own. An empty input gives an empty
-    result. ``pieces`` is read more than once, so pass a written table.
+    result. ``pieces`` is read more than once, so pass a written table. A round that saves
+    no more than ``least_saving`` of the bins that it opened counts as one that saves nothing.
     """
     spark = pieces.sparkSession
     schema = spark_schema(spark, PACKED)
@@ -289,9 +293,9 @@ def pack(
     order = np.argsort(sizes)
     bound = math.ceil(dual_feasible_bound(sizes[order], counts[order], capacity) - 1e-9)
     rows, settled, total, deal, emptiest = int(counts.sum()), [], 0, pieces, False
-    for round_no in range(max_rounds):
+    for round_no in count():
         parts = 1 if emptiest else max(1, math.ceil(rows / items_per_partition))
-        key = [F.col("bin")] if round_no else [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
+        key = [F.col("bin") if round_no else F.monotonically_increasing_id()]
         dealt = deal.withColumn("part", F.pmod(F.xxhash64(*key, F.lit(round_no)), F.lit(parts)).cast("int"))
         packed = scratch.write(dealt.groupBy("part").applyInArrow(_pack_group(capacity, round_no, schema), PACKED))
         told = packed.agg(F.sum("bins").alias("bins"), F.count(F.when(F.col("open"), 1)).alias("open")).first()
@@ -299,11 +303,11 @@ def pack(
         saved = open_bins - bins if round_no else 0
         total = total - saved if round_no else bins
         rows = int(told["open"])
-        if not rows or total <= bound or parts == 1 or round_no == max_rounds - 1:
+        if not rows or total <= bound or parts == 1:
             settled.append(packed)
             break
         released = F.col("open")
-        if round_no and not saved:
+        if round_no and saved <= least_saving * open_bins:
             # What is left saves nothing in parts: the emptiest bins, as many as fit one partition, meet once.
             emptiest, upto, least = True, 0, capacity + 1
             for r in packed.where("open").groupBy("room").agg(F.count("*").alias("n")).orderBy(F.desc("room")).collect():  # capacity rows at most
@@ -318,14 +322,16 @@ def pack(
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    certificate = [F.lit(n).cast("long").alias(c) for n, c in ((total, "sequences"), (bound, "least_sequences"))]
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", *certificate)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, items_per_partition: int = 20_000) -> DataFrame:
     """Tokenizes, cuts and packs the rows of ``docs``.
 
-    A null or empty text is the end id alone. Rows with a null doc_id, repeated
-    ids or repeated rows are packed like any others; further columns are ignored.
+    A null or empty text is the end id alone, a text of any length is cut and packed whole.
+    Rows with a null doc_id, repeated ids or repeated rows are packed like any others;
+    further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.write(token_pieces(docs, tokenizer_path, capacity))

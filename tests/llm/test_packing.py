@@ -47,6 +47,7 @@ def check_packing(rows, capacity=packing.CAPACITY):
 def test_whole_table(spark, docs, none, words):
     rows = packing.pack_documents(docs, PATH).collect()
     sequences = check_packing(rows)
+    assert {(r.sequences, r.least_sequences) for r in rows} == {(sequences, sequences)}
     assert sequences == math.ceil(sum(r.length for r in rows) / packing.CAPACITY)
     expected = []
     for d in docs.collect():
@@ -66,12 +67,36 @@ def test_exchange_between_partitions(spark):
     sequences = check_packing(rows, 100)
     sizes, counts = np.unique(lengths, return_counts=True)
     bound = math.ceil(packing.dual_feasible_bound(sizes, counts, 100))
+    assert {(r.sequences, r.least_sequences) for r in rows} == {(sequences, bound)}
     together = len(packing.best_fit_decreasing(sorted(lengths, reverse=True), 100)[2])
     assert bound <= sequences <= 1.02 * together
     apart = sum(len(packing.best_fit_decreasing(sorted(lengths[i::16], reverse=True), 100)[2]) for i in range(16))
     assert sequences < apart
 
 
+def test_equal_rows_are_dealt_evenly(spark, monkeypatch):
+    """10,000 empty documents without an id: no group holds them all."""
+    sizes = []
+    group = packing._pack_group
+
+    def watched(*args):
+        pack = group(*args)
+
+        def run(key, rows):
+            out = pack(key, rows)
+            return out.set_column(out.schema.get_field_index("start"), "start", packing.pa.array([rows.num_rows] * rows.num_rows, packing.pa.int64()))
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_group", watched)
+    pieces = spark.range(10_000).selectExpr("CAST(NULL AS long) AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "7L AS ids_crc32")
+    scratch = Scratch(spark, "test")
+    rows = packing.pack(scratch.write(pieces), scratch, capacity=100, items_per_partition=1000).collect()
+    sizes = [r.start for r in rows]
+    assert len(rows) == 10_000 and max(sizes) < 2000
+    assert check_packing(rows, 100) == 100
+
+
 def test_bounds_are_below_every_packing():
     rng = np.random.default_rng(2)
     for _ in range(200):
