@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.llm._common import Scratch
+
 #: Hex digits of the digest that the join compares.
 PREFIX_DIGITS = 8
 #: Up to so many rules are broadcast; a larger table is joined by shuffle, copied once per salt.
@@ -69,6 +71,7 @@ def filter_urls(
         )
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )
+    rules = Scratch(pages.sparkSession, "rules").write(rules)
     shapes = [(r["labels"], r["chars"]) for r in rules.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     few = rules.limit(broadcast_rules + 1).count() <= broadcast_rules
@@ -88,17 +91,22 @@ def _expression(labels: int, chars: int) -> Column:
     )
 
 
+def _confirmed(rules: str, full: str) -> Column:
+    """Those of a list of rules whose whole digest is the one given."""
+    return F.filter(rules, lambda r: r["digest"] == F.col(full))
+
+
 def _join_each(urls: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     """``urls`` with their best rule, by a broadcast join for each shape of rules."""
     hits = []
     for k, (labels, chars) in enumerate(shapes):
-        own = rules.where((F.col("labels") == labels) & (F.col("chars") == chars)).select(
-            F.col("short").alias(f"short{k}"), F.col("digest").alias(f"digest{k}"), F.col("hit").alias(f"hit{k}")
-        )
-        urls = urls.withColumn("full", F.sha2(_expression(labels, chars), 256)).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
-        # Digests differ among rules, so no URL meets more than one here.
-        urls = urls.join(F.broadcast(own), (F.col("short") == F.col(f"short{k}")) & (F.col("full") == F.col(f"digest{k}")), "left")
-        hits.append(F.col(f"hit{k}"))
+        own = rules.where((F.col("labels") == labels) & (F.col("chars") == chars))
+        # One row for each short prefix, with all rules that have it.
+        own = own.groupBy(F.col("short").alias(f"short{k}")).agg(F.collect_list(F.struct("digest", "hit")).alias(f"rules{k}"))
+        urls = urls.withColumn(f"full{k}", F.sha2(_expression(labels, chars), 256))
+        urls = urls.join(F.broadcast(own), F.substring(f"full{k}", 1, PREFIX_DIGITS) == F.col(f"short{k}"), "left")
+        # The whole digest confirms; digests differ among rules, so that one at most is left.
+        hits.append(F.get(_confirmed(f"rules{k}", f"full{k}"), F.lit(0))["hit"])
     none = F.lit(None).cast("struct<chars:int,host_chars:int,fits:string,says:string>")
     return urls.withColumn("best", F.array_max(F.array(*hits)) if hits else none)
 

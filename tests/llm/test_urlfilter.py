@@ -42,6 +42,16 @@ def test_longest_rule_of_any_shape(spark, joins):
     assert got == {1: ("a.com", "block"), 2: ("a.com/x", "allow"), 3: ("b.a.com/", "block"), 4: ("a.com/xy/z", "allow"), 5: (None, "allow")}
 
 
+def test_rules_whose_short_digests_are_equal(spark, monkeypatch):
+    """The join compares short prefixes alone; the whole digest tells rules that share one."""
+    monkeypatch.setattr(urlfilter, "PREFIX_DIGITS", 1)
+    rules = [(f"h{i}.com/", "block" if i % 2 else "allow") for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/x") for i in range(70)], "page_id long, url string")
+    for joins in (urlfilter.MAX_JOINS, 0):
+        out = urlfilter.filter_urls(pages, urlfilter.rule_table(spark, rules), max_joins=joins).collect()
+        assert {r.page_id: r.rule for r in out} == {i: f"h{i}.com/" if i < 60 else None for i in range(70)} and len(out) == 70
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.filter_urls(pages, urlfilter.rule_table(spark, URL_RULES)).collect() == []
