@@ -37,13 +37,13 @@ _BITS = WORD_BINS + SHAPE_BINS
 
 
 def _shape(word: bytes) -> bytes:
-    """Character classes of a word, runs collapsed: ``a`` lower or non-ASCII, ``A`` upper, ``0`` digit, else the character."""
+    """Character classes of a whole word, runs collapsed: ``a`` lower or non-ASCII, ``A`` upper, ``0`` digit, else the character."""
     out = bytearray()
     for c in word:
         k = 97 if 97 <= c <= 122 or c > 127 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
         if not out or out[-1] != k:
             out.append(k)
-    return bytes(out[:12])
+    return bytes(out)
 
 
 class Features:
@@ -101,7 +101,7 @@ class Space:
             latent = self.latent(rows[at : at + BLOCK])
             cosine = latent @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 2
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
             out[at : at + BLOCK] = np.where(total > 0, vote, self.prior)
@@ -154,26 +154,27 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
 
     The sample is that of the smallest hashes of doc_id; its features (not its
     texts) come to the driver. Rows with a null id or label are left out; of
-    several labels of an id the largest counts, and of repeated rows one.
+    several labels of an id the largest counts, and of several texts that of the least hash.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(fold_crc("doc_id") != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     picked = [(r["doc_id"], int(r["quality"] > 0)) for r in chosen.collect()]
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int"))  # max_labelled rows at most
-    texts = docs.select("doc_id", "text").join(small, "doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).join(small, "doc_id")
 
     def start():
         features = Features()
 
-        def row(doc_id, text, quality):
+        def row(doc_id, text, key, quality):
             index, count = features(text)
-            yield doc_id, quality, index, count
+            yield doc_id, key, quality, index, count
 
         return row
 
-    schema = "doc_id long, quality int, at array<int>, n array<int>"
-    found = map_rows(texts.select("doc_id", "text", "quality"), schema, start).dropDuplicates(["doc_id"])
+    schema = "doc_id long, key long, quality int, at array<int>, n array<int>"
+    found = map_rows(texts.select("doc_id", "text", "key", "quality"), schema, start)
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "at", "n"), "key").alias("x")).select("doc_id", "x.*")
     rows = sorted((r["doc_id"], r["quality"], r["at"], r["n"]) for r in found.collect())
     return fit([(r[2], r[3]) for r in rows], [r[1] for r in rows], dimensions)
 

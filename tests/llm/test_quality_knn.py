@@ -47,7 +47,7 @@ def test_vote_is_that_of_all_labelled_vectors():
     for v, score in zip(latent, space.score(rows[200:], neighbours=9), strict=True):
         cosine = np.array([float(v @ u) for u in space.vectors])
         near = np.argsort(-cosine, kind="stable")[:9]
-        weight = np.maximum(cosine[near], 0).astype(float) ** 2
+        weight = np.maximum(cosine[near], 0).astype(float)
         assert score == pytest.approx((weight * space.labels[near]).sum() / weight.sum(), abs=1e-3)
 
 
@@ -57,6 +57,18 @@ def test_sample_is_bounded(table):
     assert len(space.vectors) <= 50
 
 
+def test_texts_of_one_id_are_told_apart(spark, table):
+    """The fit doesn't depend on the order of rows, though ids have several texts."""
+    docs, labels, _ = table
+    twice = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] + 1))
+    one, two = (knn.fit_labelled(df, labels) for df in (twice.orderBy("text"), twice.repartition(3)))
+    assert np.array_equal(one.vectors, two.vectors) and np.array_equal(one.labels, two.labels)
+
+
+def test_shapes_are_of_whole_words():
+    assert knn._shape(b"a-b" * 9) != knn._shape(b"a-b" * 8)
+
+
 def test_odd_rows(spark, docs, none, table):
     _, labels, _ = table
     space = knn.fit_labelled(docs, labels)
