@@ -90,26 +90,50 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 class Scratch:
     """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
 
-    A written table cuts lineage and outlives a lost executor. Only where the
-    setting is absent (tests on one machine) does it use a temporary folder.
+    A written table cuts lineage and outlives a lost executor. Results are lazy and read
+    these tables, so they go when the driver's JVM ends. Where the setting is absent, a
+    local master (tests on one machine) has a temporary folder and a cluster an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             root = "file://" + os.path.join(tempfile.gettempdir(), "ledgerfold-scratch")
         self.spark, self.base, self.n = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         schema = df.schema
         df.write.parquet(path)
+        if self.n == 1:
+            self.files.deleteOnExit(self.spark._jvm.org.apache.hadoop.fs.Path(self.base))
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path  # for drop()
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that write() returned and that nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path), True)
+
+
+#: Keys with more than this share of the rows are met by broadcast, of which there can be no more than its inverse.
+HOT_KEYS = 1e-3
+
+
+def join_each(left: DataFrame, right: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``uses`` how many rows of ``left`` have it.
+
+    Keys of more than HOT_KEYS of all ``total`` rows are few, so that their rows are broadcast and those
+    of ``left`` stay where they are; all others are joined by shuffle.
+    """
+    if total <= 1 / HOT_KEYS:
+        return left.join(right.drop(uses), key)
+    hot = right.where(F.col(uses) > HOT_KEYS * total).drop(uses)
+    rest = right.where(F.col(uses) <= HOT_KEYS * total).drop(uses)
+    cool = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cool.join(rest, key))

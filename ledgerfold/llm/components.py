@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._common import Scratch
+from ledgerfold.llm._common import Scratch, join_each
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node goes to the least node among its neighbours and itself."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_each(both.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, go to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     return (
-        down.join(least, "a")
+        join_each(down, least, "a", "n", total)
         .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         .select("e.a", "e.b")
         .where("a <> b")
@@ -32,7 +32,7 @@ def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
 
     Each round is written, so that a lost executor repeats one round at most. The
     least neighbour is found by aggregation and met by a join, never by gathering
-    a node's neighbours.
+    a node's neighbours; hubs, of which there can be few, are met by broadcast.
     """
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -42,7 +42,7 @@ def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
     mark = stamp(now)
     if mark[0]:
         for _ in range(max_rounds):
-            after = scratch.write(_small_star(_large_star(now).distinct()).distinct())
+            after = scratch.write(_small_star(_large_star(now, mark[0]).distinct(), mark[0]).distinct())
             scratch.drop(now)
             now, was, mark = after, mark, stamp(after)
             if mark == was:

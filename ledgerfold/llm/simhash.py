@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm._common import Scratch, lower_words_of, map_rows
+from ledgerfold.llm._common import Scratch, join_each, lower_words_of, map_rows
 from ledgerfold.llm.components import star_components
 
 SEED = 42
@@ -112,10 +112,10 @@ def _components(docs: DataFrame, width: int, max_bits: int) -> tuple[DataFrame,
     """Rows with their fingerprints, and the root of each distinct fingerprint's component."""
     scratch = Scratch(docs.sparkSession, "simhash")
     each = scratch.write(fingerprints(docs, width))
-    classes = scratch.write(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = scratch.write(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     stars = scratch.write(star_components(links(classes.select("fp"), scratch, max_bits), scratch))
     rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
-    return each, rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return each, rooted.select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
@@ -129,9 +129,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     and further columns are ignored.
     """
     each, rooted = _components(docs, width, max_bits)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    told = rooted.agg(F.count("*"), F.sum("n")).first()
+    # A fingerprint can have a third of all rows, and a component a third of all fingerprints.
+    named = join_each(rooted, least, "root", "fps", told[0]).select("fp", "n", "component_id")
+    return join_each(each, named, "fp", "n", told[1] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
@@ -143,8 +145,9 @@ def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     by_fp = each.groupBy("fp").agg(first.alias("first"))
     chosen = by_fp.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_simhash_id"), F.col("first.text_key").alias("_simhash_key"))
-    keyed = docs.withColumn("_simhash_text", F.xxhash64("text"))
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_simhash_id"]) & (keyed["_simhash_text"] == chosen["_simhash_key"]), "left_semi")
+    # Columns of docs may have any names.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_key"))
+    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_simhash_id"]) & (keyed["text_key"] == chosen["_simhash_key"]), "left_semi")
     if each.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_simhash_text"])
-    return kept.drop("_simhash_text")
+        kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -88,6 +88,18 @@ def test_no_link_is_lost_in_hot_buckets(spark, small_bucket):
         assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2
 
 
+def test_hot_fingerprints_and_hubs(spark):
+    """Ten thousand empty rows each, and a star of two thousand: hot keys are met by broadcast, and nothing is lost."""
+    rows = spark.range(10_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text")
+    some = spark.createDataFrame([(20_000 + i, f"{i} word {i} other {i} text {i}") for i in range(50)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows.unionByName(some)).collect()}
+    assert len(got) == 10_050 and {got[i] for i in range(10_000)} == {0}
+    assert simhash.one_of_each(rows.unionByName(some)).count() == len(set(got.values()))
+    star = spark.createDataFrame([(5, i) for i in range(10, 2010)] + [(i, i + 1) for i in range(3000, 3010)], "a long, b long")
+    roots = dict(map(tuple, star_components(star, Scratch(spark, "test")).collect()))
+    assert {roots[i] for i in range(10, 2010)} == {5} and {roots[i] for i in range(3000, 3011)} == {3000}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a long, b long")
