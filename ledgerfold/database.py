@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.errors import EngineError, InvalidQuery
-from ledgerfold.functions.cells import equal_null_safe, literal, rank_of_type
+from ledgerfold.functions.cells import literal, rank_of_type, same_value
 from ledgerfold.functions.values import Clock, ValueType, system_clock
 from ledgerfold.operators import oplog
 from ledgerfold.operators.scan import ROW_ID, row_uuid
@@ -130,7 +130,7 @@ class Database:
 
     def get_row(self, table: str, key: uuid.UUID) -> tuple | None:
         scan = Transaction(self).scan(table)
-        one = Selected(scan.df.where(F.col(ROW_ID) == row_key(key)), [ir.ResultColumn(n, table, n) for n in scan.names], [scan.columns[n] for n in scan.names], [])
+        one = Selected(scan.df.where(scan.of_id(row_key(key))), [ir.ResultColumn(n, table, n) for n in scan.names], [scan.columns[n] for n in scan.names], [])
         rows = collect(one).rows
         return rows[0] if rows else None
 
@@ -145,7 +145,7 @@ class Database:
         scan = tx.scan(index.table)
         df = scan.df
         for c, v in zip(index.columns, key, strict=True):
-            df = df.where(equal_null_safe(scan.columns[c], literal(v)))
+            df = df.where(same_value(scan.columns[c], literal(v)))
         first = Selected(df.orderBy(ROW_ID).limit(1), [ir.ResultColumn(n) for n in scan.names], [scan.columns[n] for n in scan.names], [])
         rows = collect(first).rows
         return rows[0] if rows else None

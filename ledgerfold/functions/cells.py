@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerfold.functions.values import Json, ValueType, type_of
+from ledgerfold.functions.values import Json, ValueType, first_key, key_uuid, type_of
 
 CELL = "struct<t:tinyint,b:boolean,i:bigint,d:double,s:string,x:binary>"
 #: Where each type's payload lies in a cell.
@@ -52,12 +52,16 @@ class Typed:
 
     ``literal`` holds the value of a constant. OPAQUE columns (timestamps,
     arrays) come from registered files; they can be selected but not compared.
+    ``key`` is the integer key that the ids of a registered file were made of; it is null
+    for rows that come from elsewhere, which ``mixed`` says there may be.
     """
 
     col: Column
     rank: ValueType | None
     literal: Any = None
     opaque: bool = False
+    key: Column | None = None
+    mixed: bool = False
 
 
 def payload(value: Any) -> Any:
@@ -180,6 +184,31 @@ def _compare_float(op: str, a: Typed, b: Typed) -> Column:
     return _NATIVE[op](float_key(x), float_key(b.col))
 
 
+def _compare_key(op: str, a: Typed, b: Typed) -> Column:
+    """Ids made of integer keys against a constant id: a test of the keys, which the scan can use, and of ids where there is no key."""
+    first = first_key(str(b.literal))
+    exact = first < 1 << 63 and key_uuid(first) == str(b.literal)
+    if op in ("=", "<>"):
+        of_key = _NATIVE[op](a.key, F.lit(first)) if exact else (F.lit(False) if op == "=" else a.key.isNotNull())
+    elif op in ("<", ">="):
+        of_key = _NATIVE[op](a.key, F.lit(first)) if first < 1 << 63 else (a.key.isNotNull() if op == "<" else F.lit(False))
+    else:
+        last = first if exact else first - 1  # the greatest key whose id isn't above
+        of_key = _NATIVE[op](a.key, F.lit(last)) if last >= -(1 << 63) else (F.lit(False) if op == "<=" else a.key.isNotNull())
+    return by_key(of_key, a.key, _NATIVE[op](a.col, b.col)) if a.mixed else of_key
+
+
+def by_key(of_key: Column, key: Column, of_id: Column) -> Column:
+    """``of_key`` where there is a key, else ``of_id``; the first part alone can be pushed to the scan."""
+    return (of_key | key.isNull()) & (of_key | of_id)
+
+
+def _cell_key(x: Typed) -> Column:
+    """A struct of what tells values apart, null for null: equal exactly where values are, so that joins can hash it."""
+    c = to_cell(x)
+    return F.when(c["t"] != 0, F.struct(c["t"].alias("t"), c["b"].alias("b"), c["i"].alias("i"), float_key(c["d"]).alias("d"), c["s"].alias("s"), c["x"].alias("x")))
+
+
 def compare(op: str, a: Typed, b: Typed) -> Column:
     """``a op b`` in the engine's order, null where either side is null."""
     if ValueType.NULL in (a.rank, b.rank):
@@ -194,7 +223,13 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
             return both if _PYTHON[op](a.rank, b.rank) else F.lit(False)
         if a.rank == ValueType.FLOAT:
             return _compare_float(op, a, b)
+        if a.key is not None and b.literal is not None:
+            return _compare_key(op, a, b)
+        if b.key is not None and a.literal is not None:
+            return _compare_key(FLIPPED[op], b, a)
         return _NATIVE[op](a.col, b.col)
+    if op == "=":
+        return _cell_key(a) == _cell_key(b)
     x, y = to_cell(a), to_cell(b)
     same = None
     for field in ("b", "i", "d", "s", "x"):
@@ -206,11 +241,9 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
     return F.when((x["t"] != 0) & (y["t"] != 0), value)
 
 
-def equal_null_safe(a: Typed, b: Typed) -> Column:
-    """Equality of values: null equals null, and never null."""
-    if b.rank == ValueType.NULL:
-        return is_null(a)
-    return F.coalesce(compare("=", a, b), is_null(a) & is_null(b))
+def same_value(a: Typed, b: Typed) -> Column:
+    """For a filter: whether a column has a constant's value, null equalling null. Bare, so that the scan can use it."""
+    return is_null(a) if b.rank == ValueType.NULL else compare("=", a, b)
 
 
 def rank_of_type(kind: T.DataType) -> ValueType | None:

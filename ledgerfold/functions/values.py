@@ -140,6 +140,24 @@ def uuid7(clock: Clock | None) -> uuid.UUID:
     return uuid.UUID(int=bits)
 
 
+def key_uuid(key: int) -> str:
+    """The row id of an integer key: all 64 bits, negative keys under a lower version digit, so that ids are ordered as keys are."""
+    digits = f"{key & (1 << 63) - 1:016x}"
+    return f"00000000-0000-{'6' if key < 0 else '7'}00{digits[0]}-8{digits[1:4]}-{digits[4:]}"
+
+
+def first_key(row_id: str) -> int:
+    """The least 64-bit key whose id isn't below ``row_id``; one more than the greatest key if there is none."""
+    low, high = -(1 << 63), 1 << 63
+    while low < high:
+        middle = (low + high) // 2
+        if key_uuid(middle) < row_id:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
 def to_plain(value: Any) -> Any:
     """A JSON-able form that from_plain() reads back."""
     kind = type_of(value)

@@ -13,20 +13,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.functions.cells import SPARK_TYPE, Typed, from_cell, literal, rank_of_type, to_cell
-from ledgerfold.functions.values import ValueType, type_of
+from ledgerfold.functions.cells import SPARK_TYPE, Typed, by_key, from_cell, literal, rank_of_type, to_cell
+from ledgerfold.functions.values import ValueType, first_key, key_uuid, type_of
 from ledgerfold.operators.catalog import Catalog
 from ledgerfold.operators.oplog import visible_cells
 from ledgerfold.plans import ir
 
 #: Name of the scan's row id; the columns are named by place, since Spark doesn't tell cases apart.
 ROW_ID = "_row_id"
-UUID_PREFIX = "00000000-0000-7000-8000-"
+#: The integer key that a row id was made of, for rows of registered files.
+KEY = "_row_key"
 
 
 def row_uuid(key: Column) -> Column:
-    """The row id of an integer key: ordered as the key is, for keys from zero up."""
-    return F.concat(F.lit(UUID_PREFIX), F.lpad(F.lower(F.hex(key.cast("bigint"))), 12, "0"))
+    """The row id of an integer key, as key_uuid() has it; null for a null key, whose row can be scanned but not addressed."""
+    key = key.cast("bigint")
+    digits = F.lower(F.lpad(F.hex(key.bitwiseAND(F.lit((1 << 63) - 1))), 16, "0"))
+    version = F.when(key < 0, "6").otherwise("7")
+    return F.concat(
+        F.lit("00000000-0000-"), version, F.lit("00"), F.substring(digits, 1, 1), F.lit("-8"), F.substring(digits, 2, 3), F.lit("-"), F.substring(digits, 5, 12)
+    )
 
 
 @dataclass
@@ -42,6 +48,16 @@ class Scan:
     def names(self) -> list[str]:
         return [c.name for c in self.schema.columns]
 
+    def of_id(self, row_id: str) -> Column:
+        """Whether a row has this id; of rows of files a test of their key, which the files can use."""
+        same = F.col(ROW_ID) == row_id
+        if KEY not in self.df.columns:
+            return same
+        key = first_key(row_id)
+        of_key = F.col(KEY) == key if key < 1 << 63 and key_uuid(key) == row_id else F.lit(False)
+        mixed = any(t.mixed for t in self.columns.values())
+        return by_key(of_key, F.col(KEY), same) if mixed else of_key
+
 
 def place(i: int) -> str:
     return f"_c{i}"
@@ -89,7 +105,7 @@ def scan_table(
 
     wide = None
     if base is not None:
-        ids = [row_uuid(F.col(key)).alias(ROW_ID)] if keyed else []
+        ids = [row_uuid(F.col(key)).alias(ROW_ID), F.col(key).cast("bigint").alias(KEY)] if keyed else []
         wide = base.select(*ids, *[from_base(c).alias(place(i)) for i, c in enumerate(schema.columns)])
     if ops is not None:
         cells = visible_cells(ops)
@@ -112,16 +128,21 @@ def scan_table(
         else:
             logged = logged.withColumnRenamed("row_id", "_logged")
             same = F.col(ROW_ID) == F.col("_logged")
+            # Only an insert writes the key column, so that its rows can be told from those of the files.
+            born = F.lit(False)
+            for i, c in enumerate(schema.columns):
+                if c.primary_key:
+                    born = F.col(f"_d{i}").isNotNull()
             if small_log:
-                met = wide.select(ROW_ID).join(F.broadcast(logged.select("_logged")), same, "left_semi")
-                rest = logged.join(F.broadcast(met), same, "left_anti")  # as many as the log has rows, at most
+                rest = logged.where(born)
                 missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema]
                 both = wide.join(F.broadcast(logged), same, "left").unionByName(rest.select(*missing, *logged.columns))
             else:
-                both = wide.join(logged, same, "full_outer")
+                both = wide.join(logged, same, "full_outer").where(F.col(ROW_ID).isNotNull() | F.col("_logged").isNull() | born)
             new = F.col(ROW_ID).isNull()
             wide = both.select(
                 F.coalesce(ROW_ID, "_logged").alias(ROW_ID),
+                KEY,
                 *[
                     (F.col(place(i)) if c.name in opaque else shown(i, c, F.when(new, _default(c, ranks[c.name])).otherwise(F.col(place(i))))).alias(place(i))
                     for i, c in enumerate(schema.columns)
@@ -134,7 +155,11 @@ def scan_table(
     if tombstones is not None and keyed:
         gone = tombstones.withColumnRenamed("row_id", ROW_ID)
         wide = wide.join(F.broadcast(gone) if few_deleted else gone, ROW_ID, "left_anti")
-    columns = {c.name: Typed(F.col(place(i)), ranks[c.name], opaque=c.name in opaque) for i, c in enumerate(schema.columns)}
+    made = KEY in wide.columns
+    columns = {
+        c.name: Typed(F.col(place(i)), ranks[c.name], opaque=c.name in opaque, key=F.col(KEY) if made and c.primary_key and c.name not in base.columns else None, mixed=ops is not None)
+        for i, c in enumerate(schema.columns)
+    }
     return Scan(wide, schema, columns, keyed)
 
 

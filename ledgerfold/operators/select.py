@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerfold.errors import InvalidQuery, Unsupported
 from ledgerfold.functions.cells import Typed, compare, is_null, order_columns
 from ledgerfold.functions.values import ValueType
-from ledgerfold.operators.scan import ROW_ID, Scan
+from ledgerfold.operators.scan import KEY, ROW_ID, Scan
 from ledgerfold.plans import ir
 from ledgerfold.plans.exprs import Compiler, UnknownColumn, conjuncts
 
@@ -81,7 +81,8 @@ def select_extended(query: ir.Select, scan_of: Callable[[str], Scan]) -> Selecte
         n = len(tables)
         renamed = scan.df.select(*[F.col(c).alias(f"_t{n}{c}") for c in scan.df.columns])
         columns = {
-            name: Typed(F.col(f"_t{n}_c{i}"), scan.columns[name].rank, opaque=scan.columns[name].opaque) for i, name in enumerate(scan.names)
+            name: Typed(F.col(f"_t{n}_c{i}"), t.rank, opaque=t.opaque, key=F.col(f"_t{n}{KEY}") if t.key is not None else None, mixed=t.mixed)
+            for i, (name, t) in enumerate((name, scan.columns[name]) for name in scan.names)
         }
         tables[alias] = Scan(renamed, scan.schema, columns, scan.keyed)
         if df is None:

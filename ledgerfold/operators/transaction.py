@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.errors import InvalidQuery, Unsupported
-from ledgerfold.functions.cells import CELL, Typed, cell_tuple, cell_value, equal_null_safe, is_null, literal, plain_value
-from ledgerfold.functions.values import ValueType, type_of, uuid7
+from ledgerfold.functions.cells import CELL, Typed, cell_tuple, cell_value, is_null, literal, plain_value, same_value
+from ledgerfold.functions.values import ValueType, order_key, type_of, uuid7
 from ledgerfold.operators.catalog import Catalog
 from ledgerfold.operators.oplog import make_ops, visible_cells
 from ledgerfold.operators.scan import ROW_ID, Scan, place, scan_table
@@ -105,16 +105,10 @@ class Transaction:
         return row
 
     def insert_values(self, s: ir.InsertValues) -> ir.QueryResult:
-        out = ir.QueryResult()
-        for n, values in enumerate((s.values, *s.more)):
-            one = self.insert_tuple(s, values)
-            out.columns = one.columns
-            out.rows += one.rows
-            if n and not s.returning:
-                out.rows = []
-        return out
-
-    def insert_tuple(self, s: ir.InsertValues, given: tuple) -> ir.QueryResult:
+        return self.insert_rows(s.table, [self.full_row(s, values) for values in (s.values, *s.more)], s.returning)
+
+    def full_row(self, s: ir.InsertValues, given: tuple) -> tuple:
+        """A tuple of VALUES as a row with all columns."""
         schema = self.catalog.table_schema(s.table)
         names = [c.name for c in schema.columns]
         columns = list(s.columns) or names
@@ -135,55 +129,67 @@ class Transaction:
             if value is ir.DEFAULT:
                 value = uuid7(self.db.clock) if c.primary_key else c.default
             row.append(value)
-        return self.insert_row(s.table, tuple(row), s.returning)
+        return tuple(row)
 
     def insert_row(self, table: str, row: tuple, returning: tuple[str, ...] | None) -> ir.QueryResult:
+        return self.insert_rows(table, [row], returning)
+
+    def insert_rows(self, table: str, rows: list[tuple], returning: tuple[str, ...] | None) -> ir.QueryResult:
+        """Stages rows after one look at the table for all of their keys and unique indexes; the first that is refused tells why."""
         schema = self.catalog.table_schema(table)
-        key = next((v for c, v in zip(schema.columns, row, strict=True) if c.primary_key), None)
-        if type_of(key) != ValueType.UUID:
+        names = [c.name for c in schema.columns]
+        named = [dict(zip(names, row, strict=True)) for row in rows]
+        keys = [next((v for c, v in zip(schema.columns, row, strict=True) if c.primary_key), None) for row in rows]
+        if any(type_of(k) != ValueType.UUID for k in keys):
             raise InvalidQuery("Primary key must be a UUID")
-        row_id = str(key)
+        ids = [str(k) for k in keys]
         gone = self.tombstones(table)
-        if gone is not None and gone.where(F.col("row_id") == row_id).limit(1).count():
+        if gone is not None and gone.where(F.col("row_id").isin(ids)).limit(1).count():
             raise InvalidQuery("Primary key was deleted")
-        named = dict(zip((c.name for c in schema.columns), row, strict=True))
-        unique = [i for i in self.catalog.indexes_of(table) if i.unique and all(named[c] is not None for c in i.columns)]
-        self.refuse_duplicates(table, row_id, named, unique)
+        self.refuse_duplicates(table, ids, named, [i for i in self.catalog.indexes_of(table) if i.unique])
         own = self.rows.setdefault(table, [])
-        for column, value in named.items():
-            own.append((row_id, column, 1, self.db.actor, f"1@{self.db.actor}", cell_tuple(value), []))
-            self.catalog.saw(table, column, {type_of(value)})
+        for row_id, values in zip(ids, named, strict=True):
+            for column, value in values.items():
+                own.append((row_id, column, 1, self.db.actor, f"1@{self.db.actor}", cell_tuple(value), []))
+                self.catalog.saw(table, column, {type_of(value)})
         if returning is None:
             return ir.QueryResult()
-        values, columns = [], []
-        for name in returning:
-            for n in named if name == "*" else [name]:
-                if n not in named:
-                    raise InvalidQuery("Unknown RETURNING column")
-                values.append(named[n])
-                columns.append(ir.ResultColumn(n, table, n))
-        return ir.QueryResult([tuple(values)], columns)
-
-    def refuse_duplicates(self, table: str, row_id: str, named: dict[str, Any], unique: list[ir.IndexSchema]) -> None:
-        """One look at the table for the key and all unique indexes."""
-        if self.ops(table) is None and self.base(table) is None:
-            return
-        scan = self.scan(table)
-        same = F.col(ROW_ID) == row_id
-        tests = [same]
-        for index in unique:
-            hit = F.lit(True)
-            for c in index.columns:
-                hit = hit & equal_null_safe(scan.columns[c], literal(named[c]))
-            tests.append(hit)
-        any_hit = tests[0]
-        for t in tests[1:]:
-            any_hit = any_hit | t
-        found = scan.df.where(any_hit).agg(*[F.max(t).alias(f"h{i}") for i, t in enumerate(tests)]).first()
-        if found["h0"]:
-            raise InvalidQuery("Primary key already exists")
-        if any(found[f"h{i}"] for i in range(1, len(tests))):
-            raise InvalidQuery("Unique index violation")
+        wanted = [n for name in returning for n in (names if name == "*" else [name])]
+        if not set(wanted) <= set(names):
+            raise InvalidQuery("Unknown RETURNING column")
+        return ir.QueryResult([tuple(values[n] for n in wanted) for values in named], [ir.ResultColumn(n, table, n) for n in wanted])
+
+    def refuse_duplicates(self, table: str, ids: list[str], named: list[dict[str, Any]], unique: list[ir.IndexSchema]) -> None:
+        """Holds rows against the table and each other. What the table has of their keys comes here: a row a key and index at most."""
+        of_index = lambda index, values: None if any(values[c] is None for c in index.columns) else tuple(order_key(values[c]) for c in index.columns)
+        held_ids, held_keys = set(), {index.name: set() for index in unique}
+        if self.ops(table) is not None or self.base(table) is not None:
+            scan = self.scan(table)
+            hit = F.lit(False)
+            for row_id in ids:
+                hit = hit | scan.of_id(row_id)
+            for index in unique:
+                for values in named:
+                    if of_index(index, values) is not None:
+                        same = F.lit(True)
+                        for c in index.columns:
+                            same = same & same_value(scan.columns[c], literal(values[c]))
+                        hit = hit | same
+            shown = sorted({c for index in unique for c in index.columns})
+            for r in scan.df.where(hit).select(ROW_ID, *[scan.columns[c].col.alias(f"u{i}") for i, c in enumerate(shown)]).collect():
+                held_ids.add(r[ROW_ID])
+                found = {c: cell_value(x) if scan.columns[c].rank is None else plain_value(x, scan.columns[c].rank) for c, x in zip(shown, r[1:], strict=True)}
+                for index in unique:
+                    held_keys[index.name].add(of_index(index, found))
+        for row_id, values in zip(ids, named, strict=True):
+            if row_id in held_ids:
+                raise InvalidQuery("Primary key already exists")
+            held_ids.add(row_id)
+            for index in unique:
+                key = of_index(index, values)
+                if key is not None and key in held_keys[index.name]:
+                    raise InvalidQuery("Unique index violation")
+                held_keys[index.name].add(key)
 
     def insert_frame(self, table: str, df: DataFrame) -> None:
         """Inserts the rows of a frame in one go: keys, uniqueness and deletions are checked by joins.
@@ -238,7 +244,7 @@ class Transaction:
         typed = self.column(scan, table, column, "Unknown predicate column")
         if not scan.keyed:
             raise Unsupported(f"{what} of a table without a key")
-        return scan, scan.df.where(equal_null_safe(typed, literal(value.value))).select(F.col(ROW_ID).alias("row_id"))
+        return scan, scan.df.where(same_value(typed, literal(value.value))).select(F.col(ROW_ID).alias("row_id"))
 
     def column(self, scan: Scan, table: str, c: ir.QueryColumn, unknown: str) -> Typed:
         if c.table and c.table != table:
