@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -26,7 +27,7 @@ from ledgerfold.errors import Custom, SyncDependencyUnavailable
 from ledgerfold.functions.values import ValueType
 from ledgerfold.operators.oplog import KEY
 from ledgerfold.operators.transaction import Transaction
-from ledgerfold.sources.store import OPS, TOMBSTONES
+from ledgerfold.sources.store import OPS, TOMBSTONES, shared_folder
 
 PROTOCOL_VERSION = 3
 UNITS_PER_FRAME = 64
@@ -35,7 +36,12 @@ UNIT = "key string, state string, metadata string, digest string"
 
 
 class Transport(Protocol):
-    """Carries frames; may raise, which ends the session."""
+    """Carries what a side sends; may raise, which ends the session.
+
+    The payload of "state" is a function that gives the units as a DataFrame with their frames, and
+    that of "changes" one that gives single writes by table; a transport between stores that one
+    Spark session reads need not call them.
+    """
 
     def carry(self, sender: str, kind: str, payload: Any) -> Any: ...
 
@@ -95,6 +101,41 @@ def state_units(db: Database) -> DataFrame:
     return out
 
 
+def frames(units: DataFrame, size: int = UNITS_PER_FRAME) -> DataFrame:
+    """``units`` with the number of the frame that each travels in, ``size`` to a frame in the order of their keys.
+
+    Units are sorted once into files, which go with the driver. Places come from the sizes of the sorted
+    partitions, of which alone the driver hears.
+    """
+    spark = units.sparkSession
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    slot = F.monotonically_increasing_id()
+    units.repartitionByRange("key").sortWithinPartitions("key").withColumn("_slot", slot).write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_slot", 33))
+    before, upto = [], 0
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], upto))
+        upto += r["n"]
+    starts = spark.createDataFrame(before, "_part long, _before long")
+    within = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.join(F.broadcast(starts), "_part")  # a row for each partition
+    return numbered.withColumn("frame", F.floor((F.col("_before") + within) / size).cast("long")).drop("_slot", "_part", "_before")
+
+
+def outbound_units(tx: Transaction, plan: Outbound) -> DataFrame:
+    """The units of a plan that travel whole: catalog entries, rows that the other lacks, and deletions."""
+    out = catalog_units(tx)
+    for table in logged_tables(tx):
+        ids = [df.select("row_id") for df in (plan.snapshots.get(table), plan.deletions.get(table)) if df is not None]
+        if ids:
+            wanted = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
+            own = row_units(tx, table)
+            out = out.unionByName(own.join(wanted.select(F.concat(F.lit(f"row/{table}/"), "row_id").alias("key")).distinct(), "key", "left_semi"))
+    return out
+
+
 def manifest(units: DataFrame) -> DataFrame:
     """(key, digest), one row per key."""
     return units.select("key", "digest").dropDuplicates(["key"])
@@ -245,7 +286,7 @@ def synchronize(initiator: Database, responder: Database, transport: Transport |
         plan, sent, took = plans[s], results[s], results[peer[s]]
         # What was planned against the receiver's present version is new to it.
         seen = at[peer[s]].based_on
-        carry(s, "state", None)
+        carry(s, "state", lambda s=s, plan=plan: frames(outbound_units(at[s], plan)))
         with Transaction(sides[peer[s]]) as tx:
             fresh = tx.based_on == seen
             took.catalog_entries = apply_catalog(tx, plan.catalog)
@@ -253,7 +294,7 @@ def synchronize(initiator: Database, responder: Database, transport: Transport |
                 if (done := apply_ops(tx, table, ops, fresh)) is not None:
                     took.received_snapshots += done.agg(F.count_distinct("row_id")).first()[0]
         seen = tx.manifest["version"] if fresh else -1
-        carry(s, "changes", None)
+        carry(s, "changes", lambda plan=plan: plan.changes)
         with Transaction(sides[peer[s]]) as tx:
             fresh = tx.based_on == seen
             for table, ops in plan.changes.items():

@@ -260,53 +260,76 @@ def kv_latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- synchronisation
 
 
-def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    state = F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority")
-    units = orders.select("o_orderkey", F.concat(F.lit("row/orders/"), row_uuid(F.col("o_orderkey"))).alias("key"), state.alias("state"), F.lit("").alias("metadata"))
-    return units.withColumn("digest", sync.digest(F.col("state"), F.col("metadata")))
+_UNIT_KEY = f"'row/n/' || {_UUID.format('s_suppkey')}"
+_UNIT_STATE = (
+    """'[{"col":"city","counter":1,"actor":"a","op_id":"1@a","preds":[],"cell":{"t":0}},{"col":"id","counter":1,"actor":"a","op_id":"1@a","preds":[],"cell":{"t":2,"s":"' || """
+    + _UUID.format("s_suppkey")
+    + """ || '"}},{"col":"k","counter":1,"actor":"a","op_id":"1@a","preds":[],"cell":{"t":4,"i":' || s_suppkey || '}},{"col":"name","counter":1,"actor":"a","op_id":"1@a","preds":[],"cell":{"t":6,"s":"' || s_name || '"}}]'"""
+)
+_DIGEST = "sha256(unhex(printf('%02x', strlen(state) % 256) || printf('%02x', strlen(state) // 256) || '000000000000') || encode(state) || unhex('0000000000000000'))"
+_UNITS = f"SELECT key, state, '' AS metadata, {_DIGEST} AS digest FROM (SELECT {_UNIT_KEY} AS key, {_UNIT_STATE} AS state FROM supplier)"
+
+
+def _rows_of(units: DataFrame) -> DataFrame:
+    return units.where("key LIKE 'row/%'")
 
 
-_STATE = "concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)"
-_KEY = f"'row/orders/' || {_UUID.format('o_orderkey')}"
-_DIGEST = f"sha256(unhex(printf('%02x', strlen({_STATE})) || '00000000000000') || encode({_STATE}) || unhex('0000000000000000'))"
+def _loaded(spark: SparkSession, sf_dir: str, actor: str = "a") -> Database:
+    """A replica with all suppliers."""
+    db = Database.in_memory(spark, actor=actor)
+    db.translate_and_execute("CREATE TABLE n (id UUID PRIMARY KEY, k INTEGER, name TEXT, city TEXT)")
+    db.insert_frame("n", _suppliers(spark, sf_dir))
+    return db
+
 
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select(row_uuid(F.col("s_suppkey")).alias("id"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
 
-@query("state_units", f"SELECT {_KEY} AS key, {_STATE} AS state, '' AS metadata, {_DIGEST} AS digest FROM orders")
+
+@query("state_units", _UNITS)
 def state_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_units(spark, sf_dir).drop("o_orderkey")
+    """The rows' units of a replica, with their digests."""
+    return _rows_of(sync.state_units(_loaded(spark, sf_dir)))
 
 
-@query("manifest", f"SELECT {_KEY} AS key, {_DIGEST} AS digest FROM orders")
+@query("manifest", f"SELECT key, digest FROM ({_UNITS})")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = order_units(spark, sf_dir)
-    return sync.manifest(units.unionByName(units.where("o_orderkey % 2 = 0")))
+    units = _rows_of(sync.state_units(_loaded(spark, sf_dir)))
+    return sync.manifest(units.unionByName(units))
 
 
-@query("manifest_diff", f"SELECT {_KEY} AS key, {_DIGEST} AS digest FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND o_orderstatus = 'P'")
+@query("manifest_diff", f"SELECT {_UNIT_KEY} AS key FROM supplier WHERE s_suppkey % 2 = 1 OR s_suppkey IN (2, 4)")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a replica lacks or has otherwise: a third of the keys is missing, and one status differs."""
-    units = order_units(spark, sf_dir)
-    other = units.where("o_orderkey % 3 <> 0").withColumn(
-        "digest", F.when(F.expr("o_orderkey % 3 = 1 AND state LIKE '%|P|%'"), F.lit("stale")).otherwise(F.col("digest"))
-    )
-    return sync.manifest_diff(sync.manifest(units), sync.manifest(other))
+    """What the second replica has and the first lacks or has otherwise."""
+    a, b = _replicas(spark, sf_dir)
+    return _rows_of(sync.manifest_diff(sync.manifest(sync.state_units(b)), sync.manifest(sync.state_units(a)))).select("key")
+
+
+@query(
+    "frames",
+    f"SELECT frame, CAST(count(*) AS BIGINT) AS units, min(key) AS first, max(key) AS last FROM (SELECT key, CAST((row_number() OVER (ORDER BY key) - 1) // 64 AS BIGINT) AS frame FROM ({_UNITS})) GROUP BY frame",
+)
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica's rows in the frames that a session would send."""
+    cut = sync.frames(_rows_of(sync.state_units(_loaded(spark, sf_dir))))
+    return cut.groupBy("frame").agg(F.count("*").alias("units"), F.min("key").alias("first"), F.max("key").alias("last"))
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[Database, Database]:
     """Two replicas of one table: evens here, odds there, and both have changed what they share."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(row_uuid(F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    rows = _suppliers(spark, sf_dir)
     a, b = Database.in_memory(spark, actor="a"), Database.in_memory(spark, actor="b")
     a.translate_and_execute("CREATE TABLE n (id UUID PRIMARY KEY, k INTEGER, name TEXT, city TEXT)")
-    a.insert_frame("n", nation.where("k % 2 = 0"))
+    a.insert_frame("n", rows.where("k % 2 = 0"))
     sync.synchronize(a, b)
-    b.insert_frame("n", nation.where("k % 2 = 1"))
+    b.insert_frame("n", rows.where("k % 2 = 1"))
     a.translate_and_execute("UPDATE n SET name = 'A' WHERE k = 2; DELETE FROM n WHERE k = 4")
     b.translate_and_execute("UPDATE n SET city = 'B' WHERE k = 2; UPDATE n SET city = 'late' WHERE k = 4")
     return a, b
 
 
-_SYNCED = "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 2 THEN 'A' ELSE n_name END AS name, CASE WHEN n_nationkey = 2 THEN 'B' END AS city FROM nation WHERE n_nationkey <> 4"
+_SYNCED = "SELECT s_suppkey AS k, CASE WHEN s_suppkey = 2 THEN 'A' ELSE s_name END AS name, CASE WHEN s_suppkey = 2 THEN 'B' END AS city FROM supplier WHERE s_suppkey <> 4"
 
 
 @query("sync_session", f"SELECT 'a' AS replica, * FROM ({_SYNCED}) UNION ALL SELECT 'b' AS replica, * FROM ({_SYNCED})")
@@ -320,7 +343,7 @@ def sync_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "outbound_plan",
-    "SELECT 'change' AS what, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'snapshot', CAST(count(*) AS BIGINT) FROM nation WHERE n_nationkey % 2 = 1",
+    "SELECT 'change' AS what, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'snapshot', CAST(count(*) AS BIGINT) FROM supplier WHERE s_suppkey % 2 = 1",
 )
 def outbound_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second replica would send: rows that the first lacks whole, single writes of others."""
@@ -340,12 +363,12 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.join(other, ["row_id", "col", "op_id"], "left_anti").groupBy("row_id", "col").agg(F.count("*").alias("n"))
 
 
-@query("snapshot_recovery", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey = 1")
+@query("snapshot_recovery", "SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey = 1")
 def snapshot_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row whose changes came before it, taken whole."""
     a, b = _replicas(spark, sf_dir)
     a = Database.in_memory(spark, actor="c")
-    sync.recover(a, b, "n", b.ops("n").select("row_id").distinct().where(F.expr("conv(right(row_id, 2), 16, 10) % 2 = 0 OR right(row_id, 2) = '01'")))
+    sync.recover(a, b, "n", b.ops("n").select("row_id").distinct().where(F.expr("conv(right(row_id, 1), 16, 10) % 2 = 0 OR right(row_id, 12) = '000000000001'")))
     return a.dataframe("SELECT k FROM n")
 
 
@@ -410,7 +433,7 @@ extended("order_by_limit", "orders", "SELECT o_orderkey, o_totalprice FROM order
 extended("limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5")
 extended("distinct", "orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 extended("in_list", "orders", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-extended("not_in_list", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (1, 2, 3) AND o_orderkey < 20")
+extended("not_in_list", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (1, 2, 3)")
 extended("in_subquery", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000.0)")
 extended("like", "part", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%'")
 extended("not_predicate", "orders", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_orderkey < 100)")
@@ -418,10 +441,10 @@ extended("exists", "customer orders", "SELECT c_custkey FROM customer WHERE EXIS
 extended("not_exists", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT o_orderkey FROM orders WHERE o_orderkey < 0)")
 
 
-@query("params_bound", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 1000")
+@query("params_bound", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 90000")
 def params_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark, sf_dir, "orders", profile="extended")
-    return db.dataframe("SELECT o_orderkey FROM orders WHERE o_orderstatus = :s AND o_orderkey < :k", {"s": "F", "k": 1000})
+    return db.dataframe("SELECT o_orderkey FROM orders WHERE o_orderstatus = :s AND o_totalprice < :k", {"s": "F", "k": 90000.0})
 
 
 @query("statements_as_data", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -439,3 +462,199 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLE_SQL["flagship"] = "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30.0 AND l_returnflag = 'R'"
+
+
+# -- keys, indexes, DDL and refusals
+
+
+@query("large_keys", "SELECT id, k FROM (SELECT k, '00000000-0000-' || CASE WHEN k < 0 THEN '6' ELSE '7' END || '00' || h[1] || '-8' || h[2:4] || '-' || h[5:16] AS id FROM (SELECT k, printf('%016x', CAST(CASE WHEN k < 0 THEN CAST(k AS HUGEINT) + 9223372036854775808 ELSE k END AS BIGINT)) AS h FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN 281474976710656 + o_orderkey WHEN 2 THEN 9223372036854775807 - o_orderkey ELSE -o_orderkey END AS k FROM orders))) WHERE k <> 5")
+def large_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all 64 bits have ids of their own, in the keys' order, and a deletion hits one row."""
+    key = "CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN 281474976710656 + o_orderkey WHEN 2 THEN 9223372036854775807 - o_orderkey ELSE -o_orderkey END AS k"
+    db = Database.in_memory(spark)
+    path = f"{db.store.root}/large"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(key).write.parquet(path)
+    db.register_files("t", path, key="k")
+    db.translate_and_execute("DELETE FROM t WHERE k = 5")
+    return db.dataframe("SELECT id, k FROM t")
+
+
+@query("point_get", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 77")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from ledgerfold.functions.values import key_uuid
+
+    db = database(spark, sf_dir, "orders")
+    row = db.get_row("orders", uuid.UUID(key_uuid(77)))
+    names = [c.name for c in db.table_schema("orders").columns]
+    return spark.createDataFrame([] if row is None else [(row[names.index("o_orderkey")], row[names.index("o_orderstatus")])], "o_orderkey long, o_orderstatus string")
+
+
+sql(
+    "filter_uuid_range", "orders", "SELECT o_orderkey FROM orders WHERE id >= CAST('00000000-0000-7000-8000-000000000100' AS UUID) AND id <= CAST('00000000-0000-7000-8000-0000000001ff' AS UUID)",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 256 AND 511",
+)
+extended(
+    "join_mixed_types", "nation region", "SELECT n_nationkey, r_name FROM nation INNER JOIN region ON nation.n_regionkey = region.r_regionkey",
+    "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2",
+    before="UPDATE nation SET n_regionkey = 'two' WHERE n_regionkey = 2",
+)
+
+
+def told(spark: SparkSession, attempts) -> DataFrame:
+    """What each attempt, a name and a function, is refused with."""
+    from ledgerfold.errors import EngineError
+
+    rows = []
+    for name, attempt in attempts:
+        try:
+            attempt()
+            rows.append((name, "taken"))
+        except EngineError as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "what string, said string")
+
+
+@query(
+    "unique_refused",
+    "SELECT what, said, n FROM (VALUES ('frame', 'Invalid query: Unique index violation'), ('tuple', 'Invalid query: Unique index violation'), ('update', 'Invalid query: Unique index violation'), ('null', 'taken')) AS t(what, said), (SELECT count(*) + 1 AS n FROM supplier)",
+)
+def unique_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes that would share a unique key are refused, whole, and null keys aren't held against each other."""
+    db = _loaded(spark, sf_dir)
+    db.translate_and_execute("CREATE UNIQUE INDEX names ON n (name)")
+    frame = _suppliers(spark, sf_dir).select(row_uuid(F.col("k") + 1_000_000).alias("id"), "name")
+    out = told(spark, [
+        ("frame", lambda: db.insert_frame("n", frame)), ("tuple", lambda: db.translate_and_execute(_taken_name(db))),
+        ("update", lambda: db.translate_and_execute("UPDATE n SET name = 'same' WHERE city = NULL")), ("null", lambda: db.translate_and_execute("INSERT INTO n (name) VALUES (NULL)")),
+    ])
+    return out.join(db.dataframe("SELECT k FROM n").agg(F.count("*").alias("n")), F.lit(True))
+
+
+def _taken_name(db: Database) -> str:
+    (first, *_) = db.translate_and_select("SELECT name FROM n WHERE k = 1").rows
+    return f"INSERT INTO n (k, name) VALUES (0, '{first[0]}')"
+
+
+@query("resolve_row", "SELECT replica, s_suppkey AS k, CASE WHEN s_suppkey = 2 THEN 'C' ELSE s_name END AS name FROM supplier, (VALUES ('a'), ('b')) AS r(replica)")
+def resolve_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both replicas write one cell; one settles it, and the other learns of it."""
+    import uuid
+
+    from ledgerfold.functions.values import key_uuid
+
+    a, b = _loaded(spark, sf_dir), Database.in_memory(spark, actor="b")
+    sync.synchronize(a, b)
+    a.translate_and_execute("UPDATE n SET name = 'A' WHERE k = 2")
+    b.translate_and_execute("UPDATE n SET name = 'B' WHERE k = 2")
+    sync.synchronize(a, b)
+    a.resolve_row("n", uuid.UUID(key_uuid(2)), [("name", "C")])
+    sync.synchronize(a, b)
+    text = "SELECT k, name FROM n"
+    return a.dataframe(text).withColumn("replica", F.lit("a")).unionByName(b.dataframe(text).withColumn("replica", F.lit("b")))
+
+
+@query("apply_changes", "SELECT * FROM (VALUES ('early', 'Sync dependency is unavailable'), ('late', 'taken'), ('again', 'taken')) AS t(what, said)")
+def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single writes of a row that isn't here are refused, then taken after the row, and taking them again changes nothing."""
+    a, b = _loaded(spark, sf_dir), Database.in_memory(spark, actor="b")
+    ops = a.ops("n")
+    a.translate_and_execute("UPDATE n SET city = 'Oslo' WHERE k = 2")
+    changes = a.ops("n").where("counter > 1")
+    b.translate_and_execute("CREATE TABLE n (id UUID PRIMARY KEY, k INTEGER, name TEXT, city TEXT)")
+
+    def late() -> None:
+        with _transaction(b) as tx:
+            sync.apply_ops(tx, "n", ops)
+        again()
+
+    def again() -> None:
+        sync.apply_changes_atomically(b, "n", changes)
+
+    out = told(spark, [("early", again), ("late", late), ("again", again)])
+    shown = {r.city for r in b.dataframe("SELECT city FROM n WHERE k = 2").collect()}
+    return out if shown == {"Oslo"} else out.where("false")
+
+
+def _transaction(db: Database):
+    from ledgerfold.operators.transaction import Transaction
+
+    return Transaction(db)
+
+
+@query("index_ddl", "SELECT * FROM (VALUES ('rename', 'taken'), ('old name', 'Invalid query: Index not found'), ('lookup', 'taken'), ('drop', 'taken'), ('dropped', 'Invalid query: Index not found'), ('rebuild', 'Invalid query: Unique index violation')) AS t(what, said)")
+def index_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes renamed, dropped, and built over rows that share a key."""
+    db = database(spark, sf_dir, "customer", profile="extended")
+    run = lambda text: lambda: db.translate_and_execute(text)
+    db.translate_and_execute("CREATE INDEX segments ON customer (c_mktsegment)")
+    return told(spark, [
+        ("rename", run("ALTER INDEX segments RENAME TO parts")), ("old name", lambda: db.index_lookup("segments", ("BUILDING",))), ("lookup", lambda: db.index_lookup("parts", ("BUILDING",))),
+        ("drop", run("DROP INDEX parts")), ("dropped", lambda: db.index_schema("parts")), ("rebuild", run("CREATE UNIQUE INDEX parts ON customer (c_mktsegment)")),
+    ])
+
+
+@query("column_tombstone", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region")
+def column_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark, sf_dir, "region")
+    db.tombstone_column("region", "r_name")
+    return db.dataframe("SELECT * FROM region").drop("id")
+
+
+@query("catalog_apply", "SELECT * FROM (VALUES ('earlier', 'Invalid query: Table not found'), ('later', 'taken'), ('stale', 'taken'), ('unknown', 'Error: Invalid catalog key')) AS t(what, said)")
+def catalog_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another replica's entries are taken if they are later; stale ones change nothing."""
+    a, b = Database.in_memory(spark, actor="a"), Database.in_memory(spark, actor="b")
+    a.translate_and_execute("CREATE TABLE t (id UUID PRIMARY KEY, name TEXT)")
+    entries = a.export_catalog_entries()
+
+    def take() -> None:
+        for e in entries:
+            b.apply_catalog_entry(*e)
+        b.table_schema("t")
+
+    return told(spark, [("earlier", lambda: b.table_schema("t")), ("later", take), ("stale", take), ("unknown", lambda: b.apply_catalog_entry("rows", "t", "{}"))])
+
+
+@query(
+    "refusals",
+    "SELECT * FROM (VALUES ('batch', 'Invalid query: Primary key must be a UUID'), ('nothing of it', 'Invalid query: Table not found'), ('conflict', 'Error: Transaction conflict'), ('uri', 'Error: unsupported URI scheme: file:///x')) AS t(what, said)",
+)
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch is all or nothing, a late writer is refused, and so is an unknown address."""
+    db = Database.in_memory(spark)
+
+    def late() -> None:
+        tx = _transaction(db)
+        tx.catalog.create_table(ir.TableSchema("late", (ir.ColumnSchema("id", ValueType.UUID, None, True),)))
+        db.translate_and_execute("CREATE TABLE first (id UUID PRIMARY KEY)")
+        tx.commit()
+
+    return told(spark, [
+        ("batch", lambda: db.translate_and_execute("CREATE TABLE t (id UUID PRIMARY KEY); INSERT INTO t VALUES (1)")), ("nothing of it", lambda: db.table_schema("t")),
+        ("conflict", late), ("uri", lambda: Database.open_uri(spark, "file:///x")),
+    ])
+
+
+@query("implicit_order", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS place, s_suppkey AS k FROM supplier")
+def implicit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a result come in the order of their ids."""
+    rows = _loaded(spark, sf_dir).translate_and_select("SELECT k FROM n").rows
+    return spark.createDataFrame([(i, k) for i, (k,) in enumerate(rows, 1)], "place long, k long")
+
+
+@query("file_formats", "SELECT format, n_nationkey, n_name FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation), (VALUES ('csv'), ('json'), ('orc'), ('parquet')) AS f(format)")
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table by way of each file format."""
+    from ledgerfold.sources.files import write_files
+
+    db, out = Database.in_memory(spark), None
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    for form in ("csv", "json", "orc", "parquet"):
+        path = f"{db.store.root}/{form}"
+        write_files(rows, path, form)
+        db.register_files(form, path, form, key="n_nationkey", schema="n_nationkey int, n_name string")
+        own = db.dataframe(f"SELECT n_nationkey, n_name FROM {form}").withColumn("format", F.lit(form))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -252,3 +252,66 @@ def test_small_and_large_logs_show_the_same(spark, monkeypatch, most):
     plan = db.dataframe("SELECT n_name FROM nation")._jdf.queryExecution().toString()
     assert ("FullOuter" in plan) == (most == -1)
     db.close()
+
+
+def plan_of(spark, df):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return plan
+
+
+def test_ids_are_tested_by_their_keys(spark):
+    """Equality and ranges of ids reach the files as tests of keys, with and without a log."""
+    from ledgerfold.functions.values import key_uuid
+
+    db = Database.in_memory(spark)
+    db.register_files("orders", "/root/testdata/sf0.001/orders.parquet", key="o_orderkey")
+    where = f"SELECT o_orderkey FROM orders WHERE id {{}} CAST('{key_uuid(7)}' AS UUID)"
+    assert "EqualTo(o_orderkey,7)" in plan_of(spark, db.dataframe(where.format("=")))
+    assert "LessThan(o_orderkey,7)" in plan_of(spark, db.dataframe(where.format("<")))
+    db.translate_and_execute(f"INSERT INTO orders (id, o_orderkey) VALUES ({uid(A)}, 900000); UPDATE orders SET o_orderstatus = 'Z' WHERE o_orderkey = 7")
+    assert "EqualTo(o_orderkey,7)" in plan_of(spark, db.dataframe(where.format("=")))
+    assert db.dataframe(where.format("=")).collect() == [(7,)]
+    assert db.get_row("orders", key(A))[1] == 900000
+    assert db.get_row("orders", uuid.UUID(key_uuid(7)))[4 - 1] == "Z"
+    assert [r[0] for r in db.dataframe(f"SELECT o_orderkey FROM orders WHERE id >= {uid(A)}").collect()] == [900000]
+    db.close()
+
+
+def test_matched_rows_are_found_by_the_files(spark):
+    from ledgerfold.operators.transaction import Transaction
+
+    db = Database.in_memory(spark)
+    db.register_files("orders", "/root/testdata/sf0.001/orders.parquet", key="o_orderkey")
+    (delete,) = translate("DELETE FROM orders WHERE o_orderkey = 3")
+    _, ids = Transaction(db).matched("orders", delete.predicate, "DELETE")
+    assert "EqualTo(o_orderkey,3)" in plan_of(spark, ids)
+
+
+def test_mixed_columns_join_by_hash(spark):
+    db = Database.in_memory(spark, profile="extended")
+    for name, k in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        db.register_files(name, f"/root/testdata/sf0.001/{name}.parquet", key=k)
+    db.translate_and_execute("UPDATE nation SET n_regionkey = 'two' WHERE n_regionkey = 2; UPDATE nation SET n_regionkey = NULL WHERE n_regionkey = 3")
+    for text in (
+        "SELECT n_name FROM nation INNER JOIN region ON nation.n_regionkey = region.r_regionkey",
+        "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region)",
+    ):
+        df = db.dataframe(text)
+        assert df.count() == 15 and "NestedLoop" not in plan_of(spark, df)
+    db.close()
+
+
+def test_a_new_manifest_is_whole_or_not_there(spark):
+    from ledgerfold.errors import Custom
+    from ledgerfold.sources.store import EMPTY_MANIFEST
+
+    db = Database.in_memory(spark)
+    db.translate_and_execute("CREATE TABLE u (id UUID PRIMARY KEY)")
+    with pytest.raises(Custom, match="Transaction conflict"):
+        db.store.publish(dict(EMPTY_MANIFEST), 0)
+    assert db.table_names() == ["u"]
+    names = [s.getPath().getName() for s in db.store.fs.listStatus(db.store._path(f"{db.store.root}/versions"))]
+    assert [n for n in names if not n.endswith(".crc")] == ["000000000001.json"]
+    db.close()

@@ -187,3 +187,23 @@ def test_registered_files_take_writes(spark):
     db.translate_and_execute("INSERT INTO region (r_regionkey, r_name) VALUES (9, 'NEW'); UPDATE region SET r_name = 'X' WHERE r_regionkey = 1; DELETE FROM region WHERE r_regionkey = 2")
     assert sorted(db.translate_and_select("SELECT r_regionkey, r_name FROM region WHERE r_regionkey <= 9").rows)[1:3] == [(1, "X"), (3, sorted(db.translate_and_select("SELECT r_regionkey, r_name FROM region").rows)[2][1])]
     assert Transaction(db).scan("region").df.count() == 5
+
+
+def test_frames_hold_64_sorted_units(pair, spark):
+    a, b = pair
+    rows = spark.range(10, 210).selectExpr("concat('00000000-0000-7000-8000-', lpad(hex(id), 12, '0')) AS id", "concat('n', id) AS name").selectExpr("lower(id) AS id", "name")
+    a.insert_frame("people", rows)
+    carried = {}
+
+    class Listening:
+        def carry(self, sender, kind, payload):
+            if kind in ("state", "changes"):
+                carried[sender, kind] = payload() if kind == "changes" else [(r.frame, r.key) for r in payload().orderBy("key").collect()]
+            return payload
+
+    took = sync.synchronize(a, b, Listening())
+    sent = carried["initiator", "state"]
+    assert [f for f, _ in sent] == [i // 64 for i in range(len(sent))]
+    assert sum(k.startswith("row/people/") for _, k in sent) == took[0].sent_snapshots == 200
+    assert sync.frames(sync.state_units(a).where("false")).count() == 0
+    assert sync.converged(a, b)
