@@ -52,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents: the places of the pieces of what is left.
+
+    Null and empty texts have too few words and go in the first stage, as an empty table gives an
+    empty result. Rows that repeat an id and its text, like near copies, are one document after the third;
+    rows without an id take part like others. Texts of any length go through whole, and stages but the last return
+    the columns that they are given, by whatever names.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES:
