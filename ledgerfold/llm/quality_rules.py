@@ -30,6 +30,12 @@ BOILERPLATE = (
     "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|(?:alle )?cookies akzeptieren|newsletter abonnieren|hier klicken|klicken sie hier|javascript aktivieren"
     "|todos los derechos reservados|política de privacidad|condiciones de uso|aceptar (?:todas )?las cookies|aviso legal|suscríbete a nuestro boletín|haga clic aquí|activar javascript"
 )
+#: Every phrase above has one of these, so that a text with none of them has no line to search.
+BOILERPLATE_KEYS = (
+    "rights reserved", "privacy policy", "terms of ", "cookie", "javascript", "newsletter", "click here to", "facebook", "twitter", "lorem ipsum", "powered by wordpress",
+    "page not found", "©", "(c)", "copyright ", "droits réservés", "confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "rechte vorbehalten",
+    "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "klicken sie hier", "derechos reservados", "de privacidad", "condiciones de uso", "aviso legal", "nuestro boletín", "haga clic",
+)
 #: Words of menus in the same languages.
 NAVIGATION = (
     "home about contact login logout register menu search sitemap help faq next previous prev back top share print archive categories tags rss english "
@@ -99,10 +105,10 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edges[:n]) > 0).sum())
 
 
-def line_fails(line: str, words: list[bytes], rules: LineRules) -> str | None:
-    """The rule that a line with words fails, if any."""
+def line_fails(line: str, words: list[bytes], rules: LineRules, marks: bool = True, phrases: bool = True) -> str | None:
+    """The rule that a line with words fails, if any; ``marks`` and ``phrases``: whether its text has any at all."""
     n = len(words)
-    if n >= 3 and len(_MARKS.findall(line)) > rules.max_mark_share * n:
+    if marks and n >= 3 and len(_MARKS.findall(line)) > rules.max_mark_share * n:
         return "navigation"
     if any(map(line.count, SYMBOLS)) and sum(any(s in w for s in _SYMBOL_BYTES) for w in words) > rules.max_symbol_share * n:
         return "punctuation"
@@ -115,7 +121,7 @@ def line_fails(line: str, words: list[bytes], rules: LineRules) -> str | None:
             return "punctuation"
     if n <= rules.short_line and sum(w.lower().strip(b".,:;|>") in _NAVIGATION for w in words) > rules.max_navigation_share * n:
         return "navigation"
-    found = _BOILERPLATE.findall(line)
+    found = _BOILERPLATE.findall(line) if phrases else None
     if found and sum(len(words_of(x)) for x in found) >= rules.max_boilerplate_share * n:
         return "boilerplate"
     return None
@@ -127,6 +133,8 @@ def judge(text: str | None, rules: LineRules = LineRules()):
     n_words = word_chars = n_dup = lost = 0
     words: list[bytes] = []
     seen: set[str] = set()
+    marks = any(map(text.__contains__, MARKS))
+    phrases = any(map(text.casefold().__contains__, BOILERPLATE_KEYS))
     left = []
     for line in text.split("\n"):
         own = words_of(line)
@@ -134,7 +142,7 @@ def judge(text: str | None, rules: LineRules = LineRules()):
             left.append(line)
             continue
         words += own
-        fails = line_fails(line, own, rules)
+        fails = line_fails(line, own, rules, marks, phrases)
         if line in seen:
             n_dup += 1
         else:

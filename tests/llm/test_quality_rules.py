@@ -74,3 +74,18 @@ def test_keep_good(spark, docs, none):
     assert Counter((r.doc_id, r.text) for r in rows) == wanted
     assert all(r.n_chars == len(r.text) for r in rows)
     assert qr.keep_good(none).collect() == []
+
+
+def test_every_phrase_has_a_key():
+    """Texts without a key aren't searched for phrases, so each of them has to have one."""
+    phrases = (
+        "All Rights Reserved|Privacy Policy|terms of use|terms of service|cookie policy|cookie settings|cookie notice|accept cookies|Accept all cookies|we use cookies|enable JavaScript|JavaScript is disabled|"
+        "javascript is required|subscribe to our newsletter|sign up for our newsletter|click here to|share on facebook|share this on twitter|Lorem ipsum|powered by WordPress|page not found|© x|(c) x|Copyright x|"
+        "TOUS DROITS RÉSERVÉS|politique de confidentialité|conditions d'utilisation|accepter les cookies|accepter tous les cookies|mentions légales|inscrivez-vous à notre newsletter|cliquez ici pour|activer javascript|"
+        "alle Rechte vorbehalten|DATENSCHUTZERKLÄRUNG|Nutzungsbedingungen|cookies akzeptieren|alle cookies akzeptieren|newsletter abonnieren|hier klicken|klicken Sie hier|javascript aktivieren|"
+        "todos los derechos reservados|política de privacidad|condiciones de uso|aceptar las cookies|aceptar todas las cookies|aviso legal|suscríbete a nuestro boletín|haga clic aquí|activar javascript"
+    ).split("|")
+    for p in phrases:
+        assert qr._BOILERPLATE.search(p), p
+        assert any(k in p.casefold() for k in qr.BOILERPLATE_KEYS), p
+        assert qr.judge(CLEAN + "\n" + p)[7] == CLEAN, p
