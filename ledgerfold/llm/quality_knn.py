@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def weigh(index: list[int], count: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weigh(index: Sequence[int], count: Sequence[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights; words and shapes each have unit length before SHAPE_WEIGHT."""
     at = np.array(index, dtype=np.int32)
     x = np.array(count, dtype=np.float32)
@@ -125,7 +126,7 @@ def weigh(index: list[int], count: list[int], idf: np.ndarray) -> tuple[np.ndarr
     return at, x.astype(np.float32)
 
 
-def fit(rows: list[tuple[list[int], list[int]]], labels: list[int], dimensions: int = DIMENSIONS) -> Space:
+def fit(rows: Sequence[tuple[Sequence[int], Sequence[int]]], labels: list[int], dimensions: int = DIMENSIONS) -> Space:
     """Latent space of labelled rows by subspace iteration; deterministic."""
     n = len(rows)
     prior = (sum(labels) + 1) / (n + 2)
@@ -138,7 +139,7 @@ def fit(rows: list[tuple[list[int], list[int]]], labels: list[int], dimensions:
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
     x = np.zeros((n, _BITS), dtype=np.float32)
     for i, (index, count) in enumerate(rows):
-        if index:
+        if len(index):
             at, w = weigh(index, count, idf)
             x[i, at] = w
     wide = min(dimensions + 8, n, _BITS)
@@ -153,7 +154,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     """Fits on at most ``max_labelled`` labelled rows of ``docs`` outside of the held-out fold.
 
     The sample is that of the smallest hashes of doc_id; its features (not its
-    texts) come to the driver. Rows with a null id or label are left out; of
+    texts) come to the driver, packed to six bytes each, as long texts have
+    thousands of them. Rows with a null id or label are left out; of
     several labels of an id the largest counts, and of several texts that of the least hash.
     """
     usable = labels.where("doc_id is not null and quality is not null").where(fold_crc("doc_id") != 0)
@@ -168,15 +170,17 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
 
         def row(doc_id, text, key, quality):
             index, count = features(text)
-            yield doc_id, key, quality, index, count
+            yield doc_id, key, quality, np.array(index, "<u2").tobytes(), np.array(count, "<u4").tobytes()
 
         return row
 
-    schema = "doc_id long, key long, quality int, at array<int>, n array<int>"
+    schema = "doc_id long, key long, quality int, at binary, n binary"
     found = map_rows(texts.select("doc_id", "text", "key", "quality"), schema, start)
     found = found.groupBy("doc_id").agg(F.min_by(F.struct("quality", "at", "n"), "key").alias("x")).select("doc_id", "x.*")
-    rows = sorted((r["doc_id"], r["quality"], r["at"], r["n"]) for r in found.collect())
-    return fit([(r[2], r[3]) for r in rows], [r[1] for r in rows], dimensions)
+    rows = found.toArrow().sort_by("doc_id")
+    unpacked = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
+    features = list(zip(unpacked("at", "<u2"), unpacked("n", "<u4"), strict=True))
+    return fit(features, rows.column("quality").to_pylist(), dimensions)
 
 
 def score_documents(docs: DataFrame, space: Space, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -65,6 +66,22 @@ def test_texts_of_one_id_are_told_apart(spark, table):
     assert np.array_equal(one.vectors, two.vectors) and np.array_equal(one.labels, two.labels)
 
 
+def test_long_labelled_texts_are_small_on_the_driver(spark):
+    """Texts with thousands of features each come as a few bytes a feature, not as objects."""
+    docs = spark.range(200).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 6000), i -> lower(hex(xxhash64(id, i))))) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) quality")
+    tracemalloc.start()
+    space = knn.fit_labelled(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    fitted = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert len(space.vectors) == len(fitted) and space.labels.tolist() == [i % 2 for i in fitted]
+    features = knn.Features()
+    rows = [features(r.text) for r in docs.where("crc32(cast(string(doc_id) as binary)) % 5 <> 0").orderBy("doc_id").collect()]
+    assert np.array_equal(space.vectors, knn.fit(rows, [i % 2 for i in fitted]).vectors)
+    assert peak < 25e6
+
+
 def test_shapes_are_of_whole_words():
     assert knn._shape(b"a-b" * 9) != knn._shape(b"a-b" * 8)
 
