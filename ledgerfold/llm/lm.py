@@ -56,6 +56,8 @@ WORDS_PER_TASK = 40_000
 #: Characters laid out at once, and of a word that is laid out or walked on its own.
 LAID_OUT = 200_000
 LONG_WORD = 2_000
+#: Words whose probabilities are all above this are summed without logs: what underflows beside them is less than 1e-50 of any.
+PLAIN = 1e-250
 SPACE, GAP = "▁", "\n"
 LN10 = math.log(10)
 
@@ -96,8 +98,26 @@ def _sums(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return most + np.log(np.add.reduceat(np.exp(shifted), begins))
 
 
+def _sweep(size: int, begin: np.ndarray, steps: Iterable, beside: np.ndarray, arc: np.ndarray) -> np.ndarray:
+    """Log sums over all ways from the nodes ``begin`` to each node; ``beside`` has the node that an arc comes from."""
+    out = np.full(size, -np.inf)
+    out[begin] = 0.0
+    for arcs, begins, nodes in steps:
+        out[nodes] = _sums(out[beside[arcs]] + arc[arcs], begins)
+    return out
+
+
+def _plain_sweep(size: int, begin: np.ndarray, steps: Iterable, beside: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The same sums themselves, from the arcs' probabilities."""
+    out = np.zeros(size)
+    out[begin] = 1.0
+    for arcs, begins, nodes in steps:
+        out[nodes] = np.add.reduceat(out[beside[arcs]] * weight[arcs], begins)
+    return out
+
+
 class Lattice:
-    """An automaton of the vocabulary's pieces.
+    """An automaton of the vocabulary's pieces, and a table of those of one character.
 
     Words are handled many at a time: one step of a recursion takes the arcs of all
     words that end equally far from their word's start. Scores have two rows for each
@@ -109,31 +129,37 @@ class Lattice:
 
         self.pieces, self.byte_ids = pieces, np.array(byte_ids)
         self.n = len(pieces)
-        self.single = frozenset(p for p in pieces if p is not None and len(p) == 1)
+        self.single = {p: i for i, p in enumerate(pieces) if p is not None and len(p) == 1}
+        self.by_code = np.full(0x110000, -1, dtype=np.int32)
+        self.by_code[list(map(ord, self.single))] = list(self.single.values())
         self.sizes = np.array([len(p or "") for p in pieces], dtype=np.int64)
         self.automaton = ahocorasick.Automaton()
         for i, p in enumerate(pieces):
-            if p is not None:
+            if p is not None and len(p) > 1:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
 
+    def _found(self, text: str) -> Iterable[tuple[int, int]]:
+        """(place of the last character, piece) of all pieces of several characters in ``text``."""
+        return self.automaton.iter(text) if len(self.automaton) else ()
+
     def lay_out(self, words: list[str]) -> Layout:
         """Matching pieces, and bytes for a character that is no piece."""
         text = "".join([SPACE + w + GAP for w in words])
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
-        to, piece = found[:, 0] + 1, found[:, 1]
-        start = to - self.sizes[piece]
-        odd = sorted(set(text) - self.single - {GAP})
-        if odd:
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-            marks = np.array([ord(c) for c in odd], dtype="<u4")
-            at = np.flatnonzero(np.isin(codes, marks))
-            start, to = np.concatenate((start, at)), np.concatenate((to, at + 1))
-            piece = np.concatenate((piece, self.n + np.searchsorted(marks, codes[at])))
+        found = np.fromiter(chain.from_iterable(self._found(text)), np.int64).reshape(-1, 2)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        place = np.flatnonzero(codes != ord(GAP))
+        codes = codes[place]
+        alone = self.by_code[codes].astype(np.int64)
+        odd = np.flatnonzero(alone < 0)
+        marks, which = np.unique(codes[odd], return_inverse=True)
+        alone[odd] = self.n + which
+        to, piece = np.concatenate((found[:, 0], place)) + 1, np.concatenate((found[:, 1], alone))
+        start = np.concatenate((found[:, 0] + 1 - self.sizes[found[:, 1]], place))
         word = np.repeat(np.arange(len(words)), lengths + 1)[start]
-        return Layout(start, to, piece, word, first, first + lengths, [self.bytes_of(c) for c in odd])
+        return Layout(start, to, piece, word, first, first + lengths, [self.bytes_of(chr(c)) for c in marks.tolist()])
 
     def bytes_of(self, character: str) -> np.ndarray:
         return self.byte_ids[list(character.encode("utf-8", "surrogatepass"))]
@@ -147,16 +173,11 @@ class Lattice:
         ends = at.to == at.last[at.word]
         return np.where(at.piece < self.n, at.piece + self.n * ends, 2 * at.piece + ends)
 
-    def _alpha(self, at: Layout, rows: np.ndarray, steps: Iterable, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log sums over all ways from a word's start to each node, and the scores of arcs, under one column of scores."""
+    def _arcs(self, at: Layout, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The score of each arc under one column of scores."""
         if at.spelled:
             scores = np.concatenate((scores, [scores[self.spelling(ids, e)].sum() for ids in at.spelled for e in (False, True)]))
-        arc = scores[rows]
-        alpha = np.full(at.last[-1] + 1, -np.inf)
-        alpha[at.first] = 0.0
-        for arcs, begins, nodes in steps:
-            alpha[nodes] = _sums(alpha[at.start[arcs]] + arc[arcs], begins)
-        return alpha, arc
+        return scores[rows]
 
     def forward(self, words: list[str], scores: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability, summed over all segmentations; a column for each class."""
@@ -167,9 +188,11 @@ class Lattice:
                 out[own[0]] = self._walk(words[own[0]], scores)
             else:
                 at = self.lay_out([words[i] for i in own])
-                rows, steps = self._rows(at), list(at.steps(forward=True))
+                rows, steps, size = self._rows(at), list(at.steps(forward=True)), at.last[-1] + 1
                 for z in range(scores.shape[1]):
-                    out[own, z] = self._alpha(at, rows, steps, scores[:, z])[0][at.last]
+                    arc = self._arcs(at, rows, scores[:, z])
+                    total = _plain_sweep(size, at.first, steps, at.start, np.exp(arc))[at.last]
+                    out[own, z] = np.log(total) if total.min() > PLAIN else _sweep(size, at.first, steps, at.start, arc)[at.last]
         return out
 
     def _walk(self, word: str, scores: np.ndarray) -> np.ndarray:
@@ -178,7 +201,7 @@ class Lattice:
         alpha = np.full((held, scores.shape[1]), -np.inf)
         alpha[0] = 0.0
         s = SPACE + word
-        ends = groupby(self.automaton.iter(s), itemgetter(0))
+        ends = groupby(self._found(s), itemgetter(0))
         end, found = next(ends, (-1, ()))
         for k, c in enumerate(s):
             ways = []
@@ -186,8 +209,8 @@ class Lattice:
             if end == k:
                 ways = [alpha[(k + 1 - self.sizes[i]) % held] + scores[i + self.n * last] for _, i in found]
                 end, found = next(ends, (-1, ()))
-            if c not in self.single:
-                ways.append(alpha[k % held] + scores[self.spelling(self.bytes_of(c), last)].sum(axis=0))
+            own = [self.single[c] + self.n * last] if c in self.single else self.spelling(self.bytes_of(c), last)
+            ways.append(alpha[k % held] + scores[own].sum(axis=0))
             alpha[(k + 1) % held] = np.logaddexp.reduce(ways, axis=0)
         return alpha[len(s) % held]
 
@@ -197,13 +220,18 @@ class Lattice:
         words = sorted(words, key=len)
         for own in _stretches(words, list(map(len, words))):
             at = self.lay_out(own)
-            rows = self._rows(at)
-            alpha, arc = self._alpha(at, rows, at.steps(forward=True), scores)
-            beta = np.full(len(alpha), -np.inf)
-            beta[at.last] = 0.0
-            for arcs, begins, nodes in at.steps(forward=False):
-                beta[nodes] = _sums(beta[at.to[arcs]] + arc[arcs], begins)
-            share = np.exp(alpha[at.start] + arc + beta[at.to] - alpha[at.last][at.word])
+            rows, steps, size = self._rows(at), list(at.steps(forward=True)), at.last[-1] + 1
+            arc = self._arcs(at, rows, scores)
+            weight = np.exp(arc)
+            alpha = _plain_sweep(size, at.first, steps, at.start, weight)
+            total = alpha[at.last]
+            if total.min() > PLAIN:
+                beta = _plain_sweep(size, at.last, at.steps(forward=False), at.to, weight)
+                share = alpha[at.start] * weight * beta[at.to] / total[at.word]
+            else:
+                alpha = _sweep(size, at.first, steps, at.start, arc)
+                beta = _sweep(size, at.last, at.steps(forward=False), at.to, arc)
+                share = np.exp(alpha[at.start] + arc + beta[at.to] - alpha[at.last][at.word])
             uses = np.bincount(rows, share, 2 * (self.n + len(at.spelled)))
             counts += uses[: 2 * self.n]
             for k, ids in enumerate(at.spelled):
@@ -332,11 +360,23 @@ def _piece_counts(words: DataFrame, path: str, classes: list[int], scores: np.nd
     def run(batches):
         lattice = lattice_of(path)
         counts = np.zeros((2 * lattice.n, len(classes)))
+        held: list[list[str]] = [[] for _ in classes]
+        chars = [0] * len(classes)
+
+        def flush(z):
+            if held[z]:
+                counts[:, z] += lattice.expect(held[z], scores[:, z])
+            held[z], chars[z] = [], 0
+
         for batch in batches:
             for z in range(len(classes)):
                 own = batch.column(0).filter(pa.compute.greater(batch.column(z + 1), 0)).to_pylist()
-                if own:
-                    counts[:, z] += lattice.expect(own, scores[:, z])
+                held[z] += own
+                chars[z] += sum(map(len, own))
+                if chars[z] > LAID_OUT:
+                    flush(z)
+        for z in range(len(classes)):
+            flush(z)
         at, z = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at, z])], names=["z", "id", "n"])
 
@@ -416,9 +456,9 @@ def score_documents(
     columns = [f"c{z}" for z in classes]
     totals = Totals(n, v, np.array([told[c] or 0 for c in columns], dtype=float), np.array([told[f"v_{c}"] for c in columns], dtype=float))
     tasks = max(1, math.ceil(distinct / WORDS_PER_TASK))
-    # Dealt evenly by word: counting leaves few partitions, and the lattices are the work.
+    # Dealt evenly by word: counting leaves few partitions, and the lattices are the work. Every round reads these files as they lie.
     spread = scratch.write(counted.where("word <> ''").repartition(tasks, "word"))
-    scores = train_scores(spread.where("c > 0").repartition(tasks, "word"), vocabulary_path, classes, rounds)
+    scores = train_scores(spread.where("c > 0"), vocabulary_path, classes, rounds)
     shared = spark.sparkContext.broadcast(scores)
     base_of = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     models = [f"m{k}" for k in range(len(classes))]
@@ -434,7 +474,7 @@ def score_documents(
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(base), *map(pa.array, model.T)], names=["word", "c", "t", "base", *models])
 
-    valued = spread.repartition(tasks, "word").select("word", "c", "t", *columns)
+    valued = spread.select("word", "c", "t", *columns)
     scored = scratch.write(valued.mapInArrow(value, "word string, c long, t long, base double, " + ", ".join(f"{m} double" for m in models)))
 
     hot = scored.where(F.col("t") >= hot_share * tokens)  # 1 / hot_share words at most

@@ -92,6 +92,25 @@ def test_stretches_do_not_matter(lattice, scores, monkeypatch):
     assert lattice.expect(words, scores[:, 1]) == pytest.approx(whole[1])
 
 
+def test_plain_sums_are_those_of_logs(lattice, scores, monkeypatch):
+    """Probabilities are summed as they are unless they are too small, which are summed by their logs."""
+    words = [w * k for w in ("the", "onz", "é日", "\U0001f642") for k in (1, 2, 5, 30, 60, 300)]
+    plain = lattice.forward(words, scores), lattice.expect(words, scores[:, 1])
+    assert plain[0].min() < math.log(lm.PLAIN) < plain[0].max()
+    monkeypatch.setattr(lm, "PLAIN", math.inf)
+    assert lattice.forward(words, scores) == pytest.approx(plain[0], rel=1e-12)
+    assert lattice.expect(words, scores[:, 1]) == pytest.approx(plain[1], rel=1e-9)
+
+
+def test_words_are_dealt_once(spark, docs, monkeypatch):
+    """Rounds and values read the words as they lie, however many rounds there are."""
+    frame, dealt = type(docs), []
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or real(self, *a))
+    lm.score_documents(docs, PATH, rounds=2)
+    assert len(dealt) == 1
+
+
 def test_scores_are_a_distribution(lattice, scores):
     """One unit for pieces that begin a word, one for all others."""
     begins = np.array([p is not None and p[0] == lm.SPACE for p in lattice.pieces] * 2)
