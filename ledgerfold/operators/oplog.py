@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.cells import CELL
 
 KEY = ["row_id", "col"]
+#: Writes that one task sorts, about; a write takes some 250 bytes of memory, but as few as six in files and in shuffles.
+ROWS_A_TASK = 250_000
+#: Names of replaced writes that are broadcast, at most.
+BROADCAST_NAMES = 100_000
 
 
 def merge_logs(*logs: DataFrame) -> DataFrame:
@@ -23,17 +27,36 @@ def merge_logs(*logs: DataFrame) -> DataFrame:
     return out.dropDuplicates([*KEY, "op_id"])
 
 
-def live_ops(ops: DataFrame) -> DataFrame:
-    """Writes that no other write of the log replaces."""
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in partitions for a log of ``rows`` writes: as many as keep the memory of a task what it is, however large the log."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)), *keys)
+
+
+def live_ops(ops: DataFrame, rows: int | None = None, names: int | None = None) -> DataFrame:
+    """Writes that no other write of the log replaces. ``rows`` and ``names`` as for visible_cells()."""
+    if names == 0:
+        return ops
     replaced = ops.select(*KEY, F.explode("preds").alias("op_id"))
-    return ops.join(replaced, [*KEY, "op_id"], "left_anti")
+    on = [*KEY, "op_id"]
+    if names is not None and names <= BROADCAST_NAMES:
+        replaced = F.broadcast(replaced)
+    elif rows is not None:
+        ops, replaced = dealt(ops, rows, *on), dealt(replaced, rows, *on)
+    return ops.join(replaced, on, "left_anti")
 
 
-def visible_cells(ops: DataFrame) -> DataFrame:
-    """(row_id, col, cell, n, counter, live): each cell's visible value, its number of live writes and their names."""
+def visible_cells(ops: DataFrame, rows: int | None = None, names: int | None = None) -> DataFrame:
+    """(row_id, col, cell, n, counter, live): each cell's visible value, its number of live writes and their names.
+
+    Cells are structs, so that Spark sorts to aggregate them, and would sort all that a task has read before
+    it deals rows out. Where the log is known to have ``rows`` writes whose preds hold ``names`` names, rows are
+    dealt out first, once for the cells and for what is made of a row's cells, to tasks of bounded size.
+    """
+    live = live_ops(ops, rows, names)
+    if rows is not None:
+        live = dealt(live, rows, "row_id")
     return (
-        live_ops(ops)
-        .groupBy(*KEY)
+        live.groupBy(*KEY)
         .agg(
             F.max_by("cell", F.struct("counter", "actor")).alias("cell"),
             F.count("*").alias("n"),

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ledgerfold.functions.cells import SPARK_TYPE, Typed, by_key, from_cell, literal, rank_of_type, to_cell
 from ledgerfold.functions.values import ValueType, first_key, key_uuid, type_of
 from ledgerfold.operators.catalog import Catalog
-from ledgerfold.operators.oplog import visible_cells
 from ledgerfold.plans import ir
 
 #: Name of the scan's row id; the columns are named by place, since Spark doesn't tell cases apart.
@@ -68,12 +67,12 @@ def scan_table(
     catalog: Catalog,
     table: str,
     base: DataFrame | None,
-    ops: DataFrame | None,
+    cells: DataFrame | None,
     tombstones: DataFrame | None,
     small_log: bool = False,
     few_deleted: bool = False,
 ) -> Scan:
-    """``small_log`` and ``few_deleted``: what ``ops`` and ``tombstones`` hold has been found to fit a broadcast."""
+    """``small_log`` and ``few_deleted``: what ``cells``, the log's visible cells, and ``tombstones`` hold has been found to fit a broadcast."""
     schema = catalog.table_schema(table)
     info = catalog.base(table) or {}
     key = info.get("key")
@@ -107,8 +106,7 @@ def scan_table(
     if base is not None:
         ids = [row_uuid(F.col(key)).alias(ROW_ID), F.col(key).cast("bigint").alias(KEY)] if keyed else []
         wide = base.select(*ids, *[from_base(c).alias(place(i)) for i, c in enumerate(schema.columns)])
-    if ops is not None:
-        cells = visible_cells(ops)
+    if cells is not None:
         logged = cells.groupBy("row_id").agg(
             *[F.first(F.when(F.col("col") == c.name, F.col("cell")), ignorenulls=True).alias(f"_d{i}") for i, c in enumerate(schema.columns)]
         )
@@ -157,7 +155,7 @@ def scan_table(
         wide = wide.join(F.broadcast(gone) if few_deleted else gone, ROW_ID, "left_anti")
     made = KEY in wide.columns
     columns = {
-        c.name: Typed(F.col(place(i)), ranks[c.name], opaque=c.name in opaque, key=F.col(KEY) if made and c.primary_key and c.name not in base.columns else None, mixed=ops is not None)
+        c.name: Typed(F.col(place(i)), ranks[c.name], opaque=c.name in opaque, key=F.col(KEY) if made and c.primary_key and c.name not in base.columns else None, mixed=cells is not None)
         for i, c in enumerate(schema.columns)
     }
     return Scan(wide, schema, columns, keyed)

@@ -20,7 +20,7 @@ from ledgerfold.errors import InvalidQuery, Unsupported
 from ledgerfold.functions.cells import CELL, Typed, cell_tuple, cell_value, is_null, literal, plain_value, same_value
 from ledgerfold.functions.values import ValueType, order_key, type_of, uuid7
 from ledgerfold.operators.catalog import Catalog
-from ledgerfold.operators.oplog import make_ops, visible_cells
+from ledgerfold.operators.oplog import dealt, make_ops, visible_cells
 from ledgerfold.operators.scan import ROW_ID, Scan, place, scan_table
 from ledgerfold.operators.select import Selected, select_extended, select_strict
 from ledgerfold.plans import ir
@@ -56,6 +56,17 @@ class Transaction:
             parts.append(self.spark.createDataFrame(rows, OPS))
         return _union(parts)
 
+    def cells(self, table: str) -> DataFrame | None:
+        """The visible cells of a table's log. Of a log that is too large to broadcast, writes and what they replace are counted first."""
+        ops = self.ops(table)
+        if ops is None or self.small("ops", table):
+            return None if ops is None else visible_cells(ops)
+        rows, names = ops.agg(F.count("*"), F.sum(F.size("preds"))).first()
+        return visible_cells(ops, rows, names or 0)
+
+    def small(self, kind: str, table: str) -> bool:
+        return self.db.store.size(self.manifest[kind].get(table, [])) <= BROADCAST_BYTES
+
     def tombstones(self, table: str) -> DataFrame | None:
         names = self.manifest["tombstones"].get(table)
         return self.db.store.read(names, TOMBSTONES) if names else None
@@ -66,8 +77,8 @@ class Transaction:
 
     def scan(self, table: str) -> Scan:
         self.catalog.need_table(table)
-        small = {kind: self.db.store.size(self.manifest[kind].get(table, [])) <= BROADCAST_BYTES for kind in ("ops", "tombstones")}
-        return scan_table(self.spark, self.catalog, table, self.base(table), self.ops(table), self.tombstones(table), small["ops"], small["tombstones"])
+        small = [self.small(kind, table) for kind in ("ops", "tombstones")]
+        return scan_table(self.spark, self.catalog, table, self.base(table), self.cells(table), self.tombstones(table), *small)
 
     # -- statements
 
@@ -194,6 +205,9 @@ class Transaction:
     def insert_frame(self, table: str, df: DataFrame) -> None:
         """Inserts the rows of a frame in one go: keys, uniqueness and deletions are checked by joins.
 
+        The frame is computed once. Its writes are staged before their keys are checked, so that their
+        number is known and each task gets a bounded share; after a refusal abort() removes them.
+
         Columns are matched by name; the key column holds canonical UUID text,
         other columns are stored with the type that Spark has for them.
         """
@@ -216,17 +230,20 @@ class Transaction:
                 typed = literal(c.default)
             self.catalog.saw(table, c.name, {typed.rank})
             cells.append(F.struct(F.lit(c.name).alias("col"), to_cell(typed).cast(CELL).alias("cell")))
-        ids = df.select(F.col(key).alias("row_id"))
+        held = self.scan(table).df if self.ops(table) is not None or self.base(table) is not None else None
+        long = df.select(F.col(key).alias("row_id"), F.explode(F.array(*cells)).alias("c")).select("row_id", "c.col", "c.cell")
+        done = self.stage(table, ops=make_ops(long.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")}), self.db.actor))
+        if done is None:
+            return
+        ids = dealt(done.where(F.col("col") == key).select("row_id"), done.count(), "row_id")
         told = ids.agg(F.count("*"), F.count_distinct("row_id"), F.count(F.when(~F.col("row_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") | F.col("row_id").isNull(), 1))).first()
         if told[2]:
             raise InvalidQuery("Primary key must be a UUID")
         gone = self.tombstones(table)
         if gone is not None and ids.join(gone, "row_id", "left_semi").limit(1).count():
             raise InvalidQuery("Primary key was deleted")
-        if told[0] != told[1] or self.scan(table).df.join(ids.withColumnRenamed("row_id", ROW_ID), ROW_ID, "left_semi").limit(1).count():
+        if told[0] != told[1] or held is not None and held.join(ids.withColumnRenamed("row_id", ROW_ID), ROW_ID, "left_semi").limit(1).count():
             raise InvalidQuery("Primary key already exists")
-        long = df.select(F.col(key).alias("row_id"), F.explode(F.array(*cells)).alias("c")).select("row_id", "c.col", "c.cell")
-        self.stage(table, ops=make_ops(long.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")}), self.db.actor))
         self.refuse_shared_keys(table, ids, [i for i in self.catalog.indexes_of(table) if i.unique])
 
     # -- UPDATE, DELETE
@@ -281,11 +298,11 @@ class Transaction:
 
         cells = [F.struct(F.lit(c).alias("col"), to_cell(literal(v)).cast(CELL).alias("cell")) for c, v in values.items()]
         wanted = ids.select("row_id", F.explode(F.array(*cells)).alias("c")).select("row_id", "c.col", "c.cell")
-        ops = self.ops(table)
-        if ops is None:
+        cells = self.cells(table)
+        if cells is None:
             now = wanted.withColumns({"counter": F.lit(None).cast("bigint"), "live": F.lit(None).cast("array<string>")})
         else:
-            now = wanted.join(visible_cells(ops).drop("cell"), ["row_id", "col"], "left")
+            now = wanted.join(cells.drop("cell"), ["row_id", "col"], "left")
         done = self.stage(table, ops=make_ops(now, self.db.actor))
         if done is None:
             return

@@ -25,6 +25,8 @@ from ledgerfold.functions.cells import CELL
 #: One write of one cell. ``preds`` names the writes of the same cell that it replaces.
 OPS = f"row_id string, col string, counter bigint, actor string, op_id string, cell {CELL}, preds array<string>"
 TOMBSTONES = "row_id string"
+#: A file's rows, at most, so that what one task has written is read by several.
+RECORDS_A_FILE = 1_000_000
 
 EMPTY_MANIFEST: dict[str, Any] = {
     "version": 0,
@@ -97,7 +99,7 @@ class Store:
     def write(self, df: DataFrame, kind: str) -> str:
         """Writes rows and returns their folder."""
         name = f"{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        df.write.option("maxRecordsPerFile", RECORDS_A_FILE).parquet(f"{self.root}/{name}")
         return name
 
     def read(self, names: list[str], schema: str) -> DataFrame:
